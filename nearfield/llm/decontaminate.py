@@ -109,6 +109,24 @@ class Block:
                 yield int(rows[a, 0]), int(rows[a, 1]), rows[a:b, 2]
 
 
+    def covered(self, column: pa.Array, min_match: int, threshold: float) -> Iterator[tuple[int, int, float, list]]:
+        """(text, item, share, tiles) wherever tiles cover at least the threshold of an item."""
+        words, counts = hashed_words(column, spoken_words)
+        ends = np.cumsum(counts)
+        for text, k, places in self.hits(words, counts):
+            item = self.words[k]
+            size = min(min_match, len(item))
+            reach = np.zeros(len(item) + 1, np.int64)
+            np.add.at(reach, places, 1)
+            np.add.at(reach, places + size, -1)
+            if (np.cumsum(reach)[:-1] > 0).sum() < threshold * len(item):
+                continue  # tiles lie within shared seeds
+            tiles = tiling(item, words[ends[text] - counts[text] : ends[text]], min_match)
+            share = sum(n for _, _, n in tiles) / len(item)
+            if share >= threshold:
+                yield text, k, share, tiles
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, words = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
@@ -138,21 +156,10 @@ def benchmark_passages(documents: DataFrame, benchmark: DataFrame, min_match: in
             schema = pa.schema([("row_key", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("item_words", pa.int32()), ("tiles", pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("words", pa.int32())])))])
             for batch in batches:
                 for piece in slices(batch):
-                    words, counts = hashed_words(piece.column("text"), spoken_words)
-                    ends = np.cumsum(counts)
-                    out = []
-                    for text, k, places in block.hits(words, counts):
-                        item = block.words[k]
-                        size = min(min_match, len(item))
-                        reach = np.zeros(len(item) + 1, np.int64)
-                        np.add.at(reach, places, 1)
-                        np.add.at(reach, places + size, -1)
-                        if (np.cumsum(reach)[:-1] > 0).sum() < threshold * len(item):
-                            continue  # tiles lie within shared seeds
-                        tiles = tiling(item, words[ends[text] - counts[text] : ends[text]], min_match)
-                        share = sum(n for _, _, n in tiles) / len(item)
-                        if share >= threshold:
-                            out.append((piece.column("row_key")[text].as_py(), block.ids[k], share, len(item), [{"item_at": a, "doc_at": b, "words": n} for a, b, n in tiles]))
+                    out = [
+                        (piece.column("row_key")[text].as_py(), block.ids[k], share, len(block.words[k]), [{"item_at": a, "doc_at": b, "words": n} for a, b, n in tiles])
+                        for text, k, share, tiles in block.covered(piece.column("text"), min_match, threshold)
+                    ]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -161,3 +168,25 @@ def benchmark_passages(documents: DataFrame, benchmark: DataFrame, min_match: in
     blocks = [against(b) for b in _blocks(benchmark)]
     found = reduce(DataFrame.unionByName, blocks) if blocks else documents.sparkSession.createDataFrame([], FOUND)
     return found.withColumnRenamed("row_key", key)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, min_match: int = 4, threshold: float = 0.5) -> DataFrame:
+    """The rows of documents that hold no item, with all columns; each row is judged in place."""
+    out = documents
+    for items in _blocks(benchmark):
+        sent = documents.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words, or one item
+        out = out.mapInArrow(_without(sent, min_match, threshold), documents.schema)
+    return out
+
+
+def _without(sent, min_match: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(sent.value, min_match)
+        for batch in batches:
+            for piece in slices(batch):
+                keep = np.ones(len(piece), bool)
+                for text, *_ in block.covered(piece.column("text"), min_match, threshold):
+                    keep[text] = False
+                yield piece.filter(pa.array(keep))
+
+    return run

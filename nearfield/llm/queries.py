@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import bpe_count, decontaminate, exact_dedup, jaccard_join, langid, packing, token_files
+from nearfield.llm import bpe_count, decontaminate, exact_dedup, jaccard_join, langid, line_crf, packing, pii, token_files, toxicity
 from nearfield.llm.common import Scratch, held_out, table
 
 
@@ -21,6 +21,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("same_rows")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced; a deployment passes its own secret key."""
+    return pii.replace_personal_data(table(spark, sf_dir, "documents"), key="public example key").select("doc_id", "text", "n_entities")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = line_crf.score_quality(documents, line_crf.fit_quality(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = toxicity.score_toxicity(documents, toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a benchmark item, one row for each such pair."""
     found = decontaminate.benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_exact_dedup, op5_decontaminate, op7_packing, op8_token_counts, op9_jaccard_join, op10_language_id)
+    for f in (op1_token_files, op2_exact_dedup, op3_pii_surrogates, op4_quality, op5_decontaminate, op6_toxicity, op7_packing, op8_token_counts, op9_jaccard_join, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
