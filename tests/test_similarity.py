@@ -1,3 +1,6 @@
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ def value(spark, column):
 def brute(x, q, k, radius=None, order=1):
     out = set()
     for i, a in enumerate(q):
-        d = [(order * sum(abs(float(s) - float(t)) for s, t in zip(a, b)), j) for j, b in enumerate(x)]
+        d = [(order * reduce(add, [abs(float(s) - float(t)) for s, t in zip(a, b)]), j) for j, b in enumerate(x)]
         d = sorted(p for p in d if radius is None or p[0] <= radius)[:k]
         out |= {(i, j, round(order * p, 9), r + 1) for r, (p, j) in enumerate(d)}
     return out
