@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import slices
-from nearfield.llm.words import hashed_words, spoken_words, window_hashes
+from nearfield.llm.words import hashed_words, window_hashes
 
 FOUND = "row_key long, item_id long, coverage double, item_words int, tiles array<struct<item_at:int,doc_at:int,words:int>>"
 #: Words of one block of the benchmark.
@@ -70,7 +70,7 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], min_match: int):
         self.ids = [i for i, _ in items]
-        words, counts = hashed_words(pa.array([t for _, t in items], pa.string()), spoken_words)
+        words, counts = hashed_words(pa.array([t for _, t in items], pa.string()), spoken=True)
         ends = np.cumsum(counts)
         self.words = [words[e - n : e] for e, n in zip(ends, counts, strict=True)]
         self.seeds = {}
@@ -111,7 +111,7 @@ class Block:
 
     def covered(self, column: pa.Array, min_match: int, threshold: float) -> Iterator[tuple[int, int, float, list]]:
         """(text, item, share, tiles) wherever tiles cover at least the threshold of an item."""
-        words, counts = hashed_words(column, spoken_words)
+        words, counts = hashed_words(column, spoken=True)
         ends = np.cumsum(counts)
         for text, k, places in self.hits(words, counts):
             item = self.words[k]

@@ -4,7 +4,8 @@ A digit is a run of successive bytes of the normalised text: 32 bytes first, the
 Every round splits the groups that still hold several documents by their next digit; a group of one document is done, and so are
 the documents of a group whose text ends within the digit: they are equal byte by byte, without any digest. Digits are columns of
 one table, so a round reads its own bytes only. A group is counted by partial aggregation and found again by an equi-join whose
-large partitions Spark can split, so no task gathers a group of copies.
+large partitions Spark can split, so no task gathers a group of copies. All joins
+are sort-merge joins, whatever the number of copies: what is shuffled stays in proportion to the texts.
 """
 
 from __future__ import annotations
@@ -41,10 +42,10 @@ def exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> DataFra
     open_ = table.select("rid", F.lit(0).cast("long").alias("node"), F.col("d0").alias("digit"))
     for i, (low, high) in enumerate(zip([0, *ENDS], ENDS, strict=False)):
         if i:
-            open_ = open_.join(table.select("rid", F.col(f"d{i}").alias("digit")), "rid")
+            open_ = open_.hint("merge").join(table.select("rid", F.col(f"d{i}").alias("digit")), "rid")
         groups = open_.groupBy("node", "digit").agg(F.min("rid").alias("next"), F.count("*").alias("n")).where("n > 1")
         groups = store.step(groups, f"groups{i}")  # a plain table, so that the join can split a large group
-        found = open_.join(groups, ["node", "digit"]).select("rid", F.col("next").alias("node"), (F.length("digit") < high - low).alias("end"))
+        found = open_.join(groups.hint("merge"), ["node", "digit"]).select("rid", F.col("next").alias("node"), (F.length("digit") < high - low).alias("end"))
         found = store.step(found, f"round{i}")
         ended.append(found.where("end").select("rid", F.col("node").alias("group")))
         open_ = found.where("not end").select("rid", "node")

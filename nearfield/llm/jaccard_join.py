@@ -8,7 +8,7 @@
    filter); common ones go last in our order, by counts in hashed buckets. Only a hash whose holders lie in two or more components
    can still show a new link. Such hashes, joined with a band of set sizes, are the tiles: a set meets the sets of its own and the
    next band, from another component.
-4. In a tile, parity bitmaps of 1,024 bits bound the overlap from above: each bit that differs witnesses an element outside the
+4. In a tile, parity bitmaps of 512 bits bound the overlap from above: each bit that differs witnesses an element outside the
    intersection. Pairs that pass are compared exactly on their sorted arrays.
 5. All links give the components.
 """
@@ -24,19 +24,21 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import Scratch, slices
 from nearfield.llm.components import components
-from nearfield.llm.words import hashed_words, plain_words, window_hashes
+from nearfield.llm.words import hashed_words, mixed, window_hashes
 
-BANDS = 16  # words of a bitmap
+BANDS = 8  # 64-bit words of a bitmap
 STARS = 4
 #: Buckets of the frequency order, and the largest bit filter of tile hashes (bits as a power of two); both sizes are fixed.
 ORDER_BUCKETS = 1 << 20
-FILTER_POWER = 28
+FILTER_POWER = 29
+#: Bands of tiles as a power of the largest ratio of linked sizes.
+BAND_POWER = 4
 LATEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64()), ("stars", pa.list_(pa.int64())), ("text", pa.string()), ("bits", pa.list_(pa.int64())), ("counted", pa.binary())])
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; one hash of all words where there are fewer than size."""
-    words, counts = hashed_words(column, plain_words)
+    words, counts = hashed_words(column)
     windows = window_hashes(words, size)
     sets, end = [], 0
     for n in counts.tolist():
@@ -50,7 +52,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def parity_bits(own: np.ndarray) -> np.ndarray:
-    """1,024 parities of the hashes by their low bits."""
+    """512 parities of the hashes by their low bits."""
     odd = np.bincount((own & np.uint64(64 * BANDS - 1)).astype(np.int64), minlength=64 * BANDS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -109,8 +111,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
                     keep.append(100 * common >= percent * (len(both) - common))
                 yield piece.select(["a", "b"]).filter(pa.array(keep))
 
-    a = sets.select(F.col("rid").alias("a"), F.col("text").alias("ta"))
-    b = sets.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    own = Members(met).inside(sets.select("rid", "text"))  # other texts need not be shuffled
+    a = own.select(F.col("rid").alias("a"), F.col("text").alias("ta"))
+    b = own.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -131,7 +135,6 @@ def _prefixes(size: int, percent: int, order, wanted=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = order.value
-        shift, bits = wanted.value if wanted else (0, None)
         for batch in batches:
             for piece in slices(batch):
                 sets = shingle_sets(piece.column("text"), size)
@@ -142,15 +145,14 @@ def _prefixes(size: int, percent: int, order, wanted=None):
                     k = prefix_length(len(own), percent)
                     if k < len(own):  # own is in order of hash, so equal counts stay so
                         own = own[np.argsort(common[own >> np.uint64(44)], kind="stable")[:k]]
-                    if bits is not None:
-                        at = own >> shift
-                        own = own[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    if wanted:
+                        own = own[_hits(own, wanted.value)]
                     keys.append(own)
                     rows.append(np.full(len(own), row, np.int64))
                 if not keys:
                     continue
                 key, row = np.concatenate(keys), pa.array(np.concatenate(rows))
-                if bits is None:
+                if not wanted:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), piece.column("comp").take(row)], ["key", "comp"])
                 elif len(key):
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(piece.column(c).take(row) for c in ("comp", "rid", "n", "bits"))], ["key", "comp", "rid", "n", "bits"])
@@ -159,8 +161,8 @@ def _prefixes(size: int, percent: int, order, wanted=None):
 
 
 def _bit_filter(keys: DataFrame):
-    """(shift, bytes): one bit for each range of hashes that holds a wanted one. Its size is bounded by FILTER_POWER."""
-    power = min(FILTER_POWER, max(16, (16 * keys.count()).bit_length()))
+    """(shift, bytes): one bit for each range of 64-bit keys that holds a wanted one. Its size is bounded by FILTER_POWER."""
+    power = min(FILTER_POWER, max(16, (48 * keys.count()).bit_length()))
     slot = F.shiftrightunsigned("key", 64 - power)
     words = keys.select(slot.alias("s")).select(F.expr("shiftright(s, 6)").alias("w"), F.expr("shiftleft(1L, cast(s % 64 AS int))").alias("b"))
     words = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
@@ -170,6 +172,39 @@ def _bit_filter(keys: DataFrame):
     return np.uint64(64 - power), bits.view(np.uint8)
 
 
+def _hits(keys: np.ndarray, wanted) -> np.ndarray:
+    shift, bits = wanted
+    at = keys >> shift
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(signed(mixed(np.asarray(batch.column("rid")).astype(np.uint64))))], ["key"])
+
+
+class Members:
+    """Some rows, known by a bounded bit filter: splits a table into rows surely outside and rows that may be among them."""
+
+    def __init__(self, rows: DataFrame):
+        self.filter = rows.sparkSession.sparkContext.broadcast(_bit_filter(rows.select("rid").mapInArrow(_spread, "key long")))
+
+    def _part(self, table: DataFrame, inside: bool) -> DataFrame:
+        wanted = self.filter
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_hits(mixed(np.asarray(batch.column("rid")).astype(np.uint64)), wanted.value) == inside))
+
+        return table.mapInArrow(run, table.schema)
+
+    def inside(self, table: DataFrame) -> DataFrame:
+        return self._part(table, True)
+
+    def outside(self, table: DataFrame) -> DataFrame:
+        return self._part(table, False)
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name: str = "jaccard-join") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_size (documents of an equal set).
 
@@ -195,9 +230,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name
     # Aggregates are written before they are joined back: between plain tables Spark can split the rows of a large group.
     classes = store.step(full.groupBy("n", "d0", "d1").agg(F.min("rid").alias("head"), F.count("*").alias("class_size")).where("class_size > 1"), "repeated")
     member = store.step(everyone.select("rid", "doc_id", "n", "d0", "d1").join(classes, ["n", "d0", "d1"], "left").select("rid", "doc_id", "n", F.coalesce("head", "rid").alias("head"), F.coalesce("class_size", F.lit(1)).alias("class_size")), "classes")
-    heads = member.where("n > 0 and rid = head").select("rid")
-    sets = store.step(full.join(heads, "rid", "left_semi").select("rid", "n", "stars", "bits", "text"), "heads")
-    store.drop(made)
+    copies = member.where("rid <> head").select("rid")
+    sets = full.join(copies, "rid", "left_anti").select("rid", "n", "stars", "bits")
 
     # Stars: each class against the first class of each of its smallest hashes.
     small = sets.select("rid", F.explode("stars").alias("key"))
@@ -210,24 +244,37 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name
         return about.select(F.col("rid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"{side}_bits"))
 
     near = store.step(spokes.join(described("a"), "a").join(described("b"), "b").where(_close_enough(percent)).select("a", "b"), "star-pairs")
-    first_links = store.step(_verified(near, sets, size, percent), "star-links")
+    first_links = store.step(_verified(near, full, size, percent), "star-links")
     first = components(first_links, store)
 
     # Prefixes: hashes whose holders lie in several components.
-    placed = store.step(sets.join(first.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "bits", "text", F.coalesce("root", "rid").alias("comp")), "placed")
+    store.sweep()
+    texts = full.select("rid", "n", "bits", "text")
+    special = Members(copies.unionByName(first.select(F.col("node").alias("rid"))))
+    some = special.inside(texts).join(copies, "rid", "left_anti").join(first.withColumnRenamed("node", "rid"), "rid", "left")
+    some = store.step(some.select("rid", "n", "bits", "text", F.coalesce("root", "rid").alias("comp")), "placed")
+    placed = special.outside(texts).withColumn("comp", F.col("rid")).unionByName(some)
     held = placed.select("comp", "text").mapInArrow(_prefixes(size, percent, order), "key long, comp long")
     mixed_keys = store.step(held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
     links = first_links
     if not mixed_keys.isEmpty():
         wanted = spark.sparkContext.broadcast(_bit_filter(mixed_keys))
         rows = placed.mapInArrow(_prefixes(size, percent, order, wanted), "key long, comp long, rid long, n int, bits array<long>")
-        rows = store.step(rows.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")), "tiles")
-        smaller = rows.select("key", F.col("band").alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"))
-        larger = rows.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"))
+        rows = store.step(rows, "tiles")
+        store.sweep()
+
+        def band(n: Column) -> Column:
+            return F.floor(F.log(n) / float(BAND_POWER * np.log(100 / percent)) + 1e-9).cast("int")
+
+        # A set meets partners of at least percent / 100 of its size: those of its own band and, near the edge, of the one below.
+        smaller = rows.select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"))
+        larger = rows.select("key", F.explode(F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)))).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"))
         ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
         pairs = smaller.join(larger, ["key", "tile"]).where((F.col("ca") != F.col("cb")) & ordered & _close_enough(percent))
         pairs = store.step(pairs.select("a", "b").distinct(), "tile-pairs")
-        links = store.step(_verified(pairs, sets, size, percent), "tile-links").unionByName(first_links)
+        store.drop(rows)
+        store.sweep()
+        links = store.step(_verified(pairs, full, size, percent), "tile-links").unionByName(first_links)
     root = components(links, store) if links is not first_links else first
     grouped = member.join(root.withColumnRenamed("node", "head"), "head", "left").select("doc_id", "n", "class_size", F.coalesce("root", "head").alias("root"))
     grouped = store.step(grouped, "grouped")
