@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nearfield.llm.chunks import PLAIN, WORD_PIECES, HalvingCache, as_bytes_text
-from nearfield.llm.common import slices
+from nearfield.llm.common import bounded_batches, slices
 
 COUNTED = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -102,6 +102,8 @@ def count_tokens(documents: DataFrame, vocabulary: str = "word_bpe_49k.json", li
     rows; other columns are ignored.
     """
 
+    bounded_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(vocabulary)
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step works on at once; a longer document is a batch of its own.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,11 +28,21 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, not by rows alone: rows here are whole texts. A session's own stricter setting stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key, None)
+        digits = "".join(filter(str.isdigit, now or ""))
+        if now is None or not 0 < int(digits or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables of one operator call; step() cuts lineage, drop() frees a table no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.made = 0
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import slices
+from nearfield.llm.common import bounded_batches, slices
 from nearfield.llm.words import hashed_words, window_hashes
 
 FOUND = "row_key long, item_id long, coverage double, item_words int, tiles array<struct<item_at:int,doc_at:int,words:int>>"
@@ -165,6 +165,7 @@ def benchmark_passages(documents: DataFrame, benchmark: DataFrame, min_match: in
 
         return rows.mapInArrow(run, FOUND)
 
+    bounded_batches(documents.sparkSession)
     blocks = [against(b) for b in _blocks(benchmark)]
     found = reduce(DataFrame.unionByName, blocks) if blocks else documents.sparkSession.createDataFrame([], FOUND)
     return found.withColumnRenamed("row_key", key)
@@ -172,6 +173,7 @@ def benchmark_passages(documents: DataFrame, benchmark: DataFrame, min_match: in
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, min_match: int = 4, threshold: float = 0.5) -> DataFrame:
     """The rows of documents that hold no item, with all columns; each row is judged in place."""
+    bounded_batches(documents.sparkSession)
     out = documents
     for items in _blocks(benchmark):
         sent = documents.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words, or one item

@@ -65,7 +65,7 @@ def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(ORDER_BUCKETS, np.int64)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=2_000_000):
                 sets = shingle_sets(piece.column("text"), size)
                 columns = [[], [], [], [], []]
                 for own in sets:
@@ -99,7 +99,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "ta", 4_000_000):
+            for piece in slices(batch, "ta", 1_000_000):
                 left, right = piece.column("ta").dictionary_encode(), piece.column("tb").dictionary_encode()
                 a_sets, b_sets = shingle_sets(left.dictionary, size), shingle_sets(right.dictionary, size)
                 keep = []
@@ -136,7 +136,7 @@ def _prefixes(size: int, percent: int, order, wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = order.value
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=2_000_000):
                 sets = shingle_sets(piece.column("text"), size)
                 keys, rows = [], []
                 for row, own in enumerate(sets):

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import held_out, slices
+from nearfield.llm.common import bounded_batches, held_out, slices
 
 CELLS = 4096
 ORDERS = (1, 2, 3)
@@ -134,6 +134,7 @@ def identify_languages(documents: DataFrame, model: Centroids) -> DataFrame:
     model without languages (score 0). rejected tells that the distance is beyond what training texts of that centroid show. A
     null doc_id stays null; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import held_out, slices
+from nearfield.llm.common import bounded_batches, held_out, slices
 
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 ENDINGS = b".!?:;\"')"
@@ -172,6 +172,7 @@ def score_quality(documents: DataFrame, model: LineField | None) -> DataFrame:
     A null or empty text is scored as one blank line; without a model every score is 0.5. A null doc_id stays null; repeated rows
     are scored each; an empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +187,7 @@ def score_quality(documents: DataFrame, model: LineField | None) -> DataFrame:
 
 def keep_good(documents: DataFrame, model: LineField | None, threshold: float = 0.3) -> DataFrame:
     """The rows of documents whose score reaches the threshold, with all columns; each row is scored in place."""
+    bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

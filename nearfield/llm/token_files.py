@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.chunks import encoder
-from nearfield.llm.common import slices
+from nearfield.llm.common import bounded_batches, slices
 
 WRITTEN = "part int, documents long, tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -58,6 +58,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str = "word
     no ranges. Other columns are ignored.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     width = 2 if max(largest_id, end_id or 0) < 1 << 16 else 4
     parts = parts or max(documents.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     store, path = fs.FileSystem.from_uri(folder)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import held_out, slices
+from nearfield.llm.common import bounded_batches, held_out, slices
 
 DECAY, SPAN = 0.75, 7
 SCORED = "doc_id long, score double, worst_sentence string"
@@ -277,6 +277,7 @@ def score_toxicity(documents: DataFrame, model: InsultMachine) -> DataFrame:
     sentence; worst_sentence is given where the score is at least 0.5. A null doc_id stays null; repeated rows are scored each; an
     empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
