@@ -29,7 +29,7 @@ from nearfield.llm.words import hashed_words, mixed, window_hashes
 BANDS = 8  # 64-bit words of a bitmap
 STARS = 4
 #: Buckets of the frequency order, and the largest bit filter of tile hashes (bits as a power of two); both sizes are fixed.
-ORDER_BUCKETS = 1 << 20
+ORDER_BUCKETS, ORDER_SLICES = 1 << 20, 64
 FILTER_POWER = 29
 #: Bands of tiles as a power of the largest ratio of linked sizes.
 BAND_POWER = 4
@@ -78,20 +78,21 @@ def _signatures(size: int):
                 n, d0, d1, stars, bits = columns
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(stars, pa.list_(pa.int64())), piece.column("text").cast(pa.string()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(n), pa.binary())], schema=LATEST)
         if totals.any():
-            # The task's bucket counts travel as one extra row; they are added up below.
-            yield pa.RecordBatch.from_pylist([{"counted": totals.astype("<i4").tobytes()}], schema=LATEST)
+            # The task's bucket counts travel as extra rows, one for each slice of buckets; they are added up below.
+            parts = totals.astype("<i8").reshape(ORDER_SLICES, -1)
+            yield pa.RecordBatch.from_pylist([{"n": i, "counted": own.tobytes()} for i, own in enumerate(parts)], schema=LATEST)
 
     return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        for row in batch.column("counted"):
-            own = np.frombuffer(row.as_py(), "<i4" if len(row.as_py()) == 4 * ORDER_BUCKETS else "<i8").astype("<i8")
-            total = own if total is None else total + own
-    if total is not None:
-        yield pa.RecordBatch.from_pydict({"counted": pa.array([total.tobytes()], pa.binary())})
+        for part, row in zip(batch.column("part").to_pylist(), batch.column("counted"), strict=True):
+            own = np.frombuffer(row.as_buffer(), "<i8")
+            totals[part] = totals[part] + own if part in totals else own
+    if totals:
+        yield pa.RecordBatch.from_arrays([pa.array([*totals], pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["part", "counted"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -220,10 +221,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name
     made = store.step(picked.mapInArrow(_signatures(size), kinds).withColumn("rid", F.monotonically_increasing_id()), "sets")
     everyone = made.where("counted is null")
 
-    counted = made.where("counted is not null").select("counted")
-    width = max(1, made.rdd.getNumPartitions() // 16)
-    summed = counted.repartition(width).mapInArrow(_added, "counted binary").coalesce(1).mapInArrow(_added, "counted binary").collect()
-    weights = np.frombuffer(summed[0][0], "<i8") if summed else np.zeros(ORDER_BUCKETS, np.int64)
+    counted = made.where("counted is not null").select(F.col("n").alias("part"), "counted")
+    summed = dict(map(tuple, counted.repartition(ORDER_SLICES, "part").mapInArrow(_added, "part int, counted binary").collect()))
+    weights = np.concatenate([np.frombuffer(summed[i], "<i8") for i in range(ORDER_SLICES)]) if summed else np.zeros(ORDER_BUCKETS, np.int64)
     order = spark.sparkContext.broadcast(weights)
 
     full = everyone.where("n > 0")
