@@ -33,7 +33,8 @@ TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|госпож
 NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
 #: Types in order of preference, with patterns that have no capturing group.
 TYPES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # Begins only where a run begins and never gives back, so that long runs of letters stay linear.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.){1,30}[A-Za-z]{2,}",
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_\-]{16,}[\"']?",
     "key": r"\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
@@ -99,9 +100,9 @@ def _with_check_digit(masked: Column, entity: Column) -> Column:
     return F.when(luhn(entity, 0) == 0, F.concat(head, ((10 - luhn(head, 1)) % 10).cast("string"))).otherwise(masked)
 
 
-def surrogate(entity: Column, kind: Column, counter: Column, key: str) -> Column:
-    """The surrogate of an entity at the given draw."""
-    stream = _stream(entity, kind, counter, key)
+def surrogate(entity: Column, kind: Column, counter: Column, key: str, stream: Column | None = None) -> Column:
+    """The surrogate of an entity at the given draw; stream: its keyed digits, where they are a column already."""
+    stream = _stream(entity, kind, counter, key) if stream is None else stream
     local, end = F.regexp_extract(entity, r"^([^@]+)@", 1), F.concat(F.lit("mail"), _draw(stream, 40, 1000).cast("string"), F.lit(".example.org"))
     email = F.concat(_masked(local, stream), F.lit("@"), end)
     host = F.concat(F.lit("198."), (18 + _draw(stream, 0, 2)).cast("string"), F.lit("."), _draw(stream, 1, 256).cast("string"), F.lit("."), _draw(stream, 2, 256).cast("string"))
@@ -137,7 +138,9 @@ def _unique_surrogates(entities: DataFrame, key: str, store: Scratch) -> DataFra
     open_ = entities.select("entity", "kind", F.lit(0).alias("counter"))
     done: list[DataFrame] = []
     for step in range(ROUNDS + 1):
-        drawn = store.step(open_.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), F.col("counter"), key)), f"drawn{step}")
+        named = [F.col(c) for c in ("entity", "kind", "counter")]
+        streams = open_.withColumn("_stream", _stream(*named, key))  # once for each entity, not for each character
+        drawn = store.step(streams.withColumn("surrogate", surrogate(*named, key, F.col("_stream"))).drop("_stream"), f"drawn{step}")
         winners = drawn.groupBy("surrogate").agg(F.min("entity").alias("winner"))
         taken = entities.select(F.col("entity").alias("surrogate"))
         for before in done:
