@@ -7,7 +7,9 @@ cards keep a valid check digit where the entity had one, mail addresses and host
 and names after a title come from lists of the same gender and script.
 
 Two entities that draw the same surrogate, and a surrogate that is itself an entity of the corpus, are collisions: those entities
-draw again with the next counter until none is left. When a format has too few values for that, the surrogate is lengthened.
+draw again with the next counter. Later draws come from larger spaces of the same form: host numbers from all of 240/4, names built
+from syllables, mail addresses with a longer local part. Where a format of fixed length is so full that entities are still left after
+the last draw, they trade places: each takes the value of another entity of its format, which no other surrogate is.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield.llm.common import Scratch
 
@@ -45,7 +48,10 @@ TYPES = {
     "name": rf"\b(?:{TITLES['f']}|{TITLES['m']})\.? {NAME}",
 }
 ENTITY = "|".join(TYPES.values())
-ROUNDS = 6
+ROUNDS = 8
+#: Consonants and vowels of built names, and the end of a built name by its list in NAMES.
+SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
+ENDS = {("f", "latin"): "na", ("m", "latin"): "n", ("s", "latin"): "rt", ("f", "cyrillic"): "на", ("m", "cyrillic"): "н", ("s", "cyrillic"): "ров"}
 
 
 def kind_of(entity: Column) -> Column:
@@ -69,6 +75,13 @@ def _pick(words: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), index + 1)
 
 
+def _name(sort: str, script: str, stream: Column, at: int, counter: Column) -> Column:
+    """A name of the list at the first two draws; then one of counter + 2 syllables, so that each draw has more names."""
+    syllables = [c + v for c in SOUNDS[script][0] for v in SOUNDS[script][1]]
+    built = F.concat_ws("", F.transform(F.sequence(F.lit(1), counter + 2), lambda i: _pick(syllables, _draw(stream, i * 2 + at + 3, len(syllables)))))
+    return F.when(counter < 2, _pick(NAMES[sort, script], _draw(stream, at, len(NAMES[sort, script])))).otherwise(F.concat(F.initcap(built), F.lit(ENDS[sort, script])))
+
+
 def _masked(text: Column, stream: Column) -> Column:
     """Every digit and letter by another of its sort (digit, a-f, A-F, other lower, other upper); the rest stays."""
     sorts = [("0123456789", "[0-9]"), ("abcdefghijklmnopqrstuvwxyz", "[a-z]"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "[A-Z]")]
@@ -104,8 +117,10 @@ def surrogate(entity: Column, kind: Column, counter: Column, key: str, stream: C
     """The surrogate of an entity at the given draw; stream: its keyed digits, where they are a column already."""
     stream = _stream(entity, kind, counter, key) if stream is None else stream
     local, end = F.regexp_extract(entity, r"^([^@]+)@", 1), F.concat(F.lit("mail"), _draw(stream, 40, 1000).cast("string"), F.lit(".example.org"))
-    email = F.concat(_masked(local, stream), F.lit("@"), end)
-    host = F.concat(F.lit("198."), (18 + _draw(stream, 0, 2)).cast("string"), F.lit("."), _draw(stream, 1, 256).cast("string"), F.lit("."), _draw(stream, 2, 256).cast("string"))
+    longer = F.when(counter > 0, F.concat(F.lit("."), F.substr(stream, F.lit(121), counter * 8))).otherwise(F.lit(""))
+    email = F.concat(_masked(local, stream), longer, F.lit("@"), end)
+    net = F.when(counter == 0, F.concat(F.lit("198."), (18 + _draw(stream, 0, 2)).cast("string"))).otherwise(F.concat((240 + _draw(stream, 3, 15)).cast("string"), F.lit("."), _draw(stream, 0, 256).cast("string")))
+    host = F.concat(net, F.lit("."), _draw(stream, 1, 256).cast("string"), F.lit("."), _draw(stream, 2, 256).cast("string"))
     lead = F.regexp_extract(entity, r"^(?i:[a-z_ -]+\s*[=:]\s*[\"']?)", 0)
     secret = F.concat(lead, _masked(F.substr(entity, F.length(lead) + 1), stream))
     iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), _masked(F.substr(entity, F.lit(3)), stream))
@@ -115,29 +130,40 @@ def surrogate(entity: Column, kind: Column, counter: Column, key: str, stream: C
     own = F.substr(entity, F.length(title) + 1)
 
     def name(gender: str, script: str) -> Column:
-        given, last = NAMES[gender, script], NAMES["s", script]
-        extra = F.when(counter > 1, F.concat(F.lit("-"), _pick(last, _draw(stream, 3, len(last))))).otherwise(F.lit(""))
-        surname = F.concat(_pick(last, _draw(stream, 2, len(last))), extra)
-        return F.when(own.contains(" "), F.concat_ws(" ", _pick(given, _draw(stream, 1, len(given))), surname)).otherwise(surname)
+        surname = _name("s", script, stream, 2, counter)
+        return F.when(own.contains(" "), F.concat_ws(" ", _name(gender, script, stream, 1, counter), surname)).otherwise(surname)
 
     female, cyrillic = title.rlike(rf"^(?:{TITLES['f']})\b"), own.rlike(r"\p{IsCyrillic}")
     person = F.concat(title, F.when(female & cyrillic, name("f", "cyrillic")).when(female, name("f", "latin")).when(cyrillic, name("m", "cyrillic")).otherwise(name("m", "latin")))
     country = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
     phone = F.concat(country, _masked(F.substr(entity, F.length(country) + 1), stream))
     plain = _masked(entity, stream)
-    made = (
+    return (
         F.when(kind == "email", email).when(kind == "ipv4", host).when(kind == "secret", secret).when(kind == "key", token).when(kind == "iban", iban)
         .when(kind == "card", _with_check_digit(plain, entity)).when(kind == "name", person).when(kind == "phone", phone).otherwise(plain)
     )
-    # After many draws the format is full: the surrogate grows by keyed digits.
-    return F.when(counter >= ROUNDS - 1, F.concat(made, F.lit("-"), F.sha2(F.concat(F.lit(key), kind, entity), 256))).otherwise(made)
+
+def _format(entity: Column) -> Column:
+    """The entity with every digit as 0, lower letter as a and upper letter as A."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(entity, "[0-9]", "0"), r"\p{Ll}", "a"), r"\p{Lu}", "A")
+
+
+def _traded(left: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """(entity, kind, surrogate): in keyed order each takes the next one's value of the same kind and format; a single one another's."""
+    form = _format(F.col("entity")).alias("form")
+    order = Window.partitionBy("kind", "form").orderBy(F.sha2(F.concat_ws("|", F.lit(key), "entity"), 256), "entity")
+    around = F.coalesce(F.lead("entity").over(order), F.first("entity").over(order))
+    ring = left.select("entity", "kind", form).withColumn("next", around)
+    ends = entities.select("entity", "kind", form).groupBy("kind", "form").agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
+    other = F.when(F.col("next") != F.col("entity"), F.col("next")).when(F.col("low") != F.col("entity"), F.col("low")).otherwise(F.col("high"))
+    return ring.join(ends, ["kind", "form"]).select("entity", "kind", other.alias("surrogate"))
 
 
 def _unique_surrogates(entities: DataFrame, key: str, store: Scratch) -> DataFrame:
-    """(entity, kind, surrogate) with all surrogates distinct and none of them an entity."""
+    """(entity, kind, surrogate) with all surrogates distinct, and none of them an entity unless its format is full."""
     open_ = entities.select("entity", "kind", F.lit(0).alias("counter"))
     done: list[DataFrame] = []
-    for step in range(ROUNDS + 1):
+    for step in range(ROUNDS):
         named = [F.col(c) for c in ("entity", "kind", "counter")]
         streams = open_.withColumn("_stream", _stream(*named, key))  # once for each entity, not for each character
         drawn = store.step(streams.withColumn("surrogate", surrogate(*named, key, F.col("_stream"))).drop("_stream"), f"drawn{step}")
@@ -152,6 +178,8 @@ def _unique_surrogates(entities: DataFrame, key: str, store: Scratch) -> DataFra
         open_ = won.where("not ok").select("entity", "kind", (F.col("counter") + 1).alias("counter"))
         if open_.isEmpty():
             break
+    else:
+        done.append(_traded(open_, entities, key))
     return reduce(DataFrame.unionByName, done)
 
 

@@ -200,6 +200,25 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == 200
 
 
+def test_surrogates_keep_their_form_when_many(spark):
+    hosts = [f"{11 + i // 65536}.{i // 256 % 256}.{i % 256}.7" for i in range(100_000)]
+    got = [r.text for r in pii.replace_personal_data(rows(spark, hosts), "k").collect()]
+    assert len(set(got)) == len(got) and not set(got) & set(hosts)
+    assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", x) and max(map(int, x.split("."))) < 256 for x in got)
+    names = [f"{t} {c}{a}{b}{d}" for t, c, w in (("Frau", "X", "abcdefghij"), ("господин", "Ш", "абвгдежзик")) for a in w for b in w for d in w]
+    got = [r.text for r in pii.replace_personal_data(rows(spark, names), "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(got)
+    assert all(re.fullmatch("Frau [A-Z][a-z]+", x) for x in got[:1000]) and all(re.fullmatch("господин [А-Я][а-я]+", x) for x in got[1000:])
+
+
+def test_a_full_format_trades_values(spark):
+    numbers = [f"000-00-{i:04}" for i in range(100)]
+    entities = spark.createDataFrame([(n, "ssn") for n in numbers] + [("lone", "key"), ("zone", "key")], "entity string, kind string")
+    got = {r.entity: r.surrogate for r in pii._traded(entities.where("entity <> 'zone'"), entities, "k").collect()}
+    assert len(set(got.values())) == len(got) == 101 and all(k != v for k, v in got.items())
+    assert set(numbers) == {got[n] for n in numbers} and got["lone"] == "zone"
+
+
 def labelled(spark, n=240):
     good = [f"The river ran past the old mill number {i}.\nPeople met there on quiet evenings and talked." for i in range(n)]
     bad = [f"BUY!! NOW!! {i}!! CHEAP!!\n$$$ $$$ click click click click" for i in range(n)]
