@@ -34,6 +34,21 @@ NAMES = {
 #: Titles before a name, by the gender they tell.
 TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|госпожа|г-жа", "m": "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|господин|г-н"}
 NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
+YEAR = r"(?:1[5-9]|20)\d\d"
+#: Dates, with or without separators and time: no phone numbers.
+DATE = rf"(?:{YEAR}[-./ ](?:1[0-2]|0?[1-9])[-./ ](?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])[-./ ](?:3[01]|[12]\d|0?[1-9])[-./ ]{YEAR}|{YEAR}(?:1[0-2]|0[1-9])(?:3[01]|[12]\d|0[1-9])(?:\d{{4}}(?:\d\d)?)?|(?:3[01]|[12]\d|0[1-9])(?:1[0-2]|0[1-9]){YEAR})(?!\d)"
+#: Phone numbers have 7 to 15 digits. Numbers of one length around a hyphen (ranges), thousands in groups and numbers after a year are
+#: none, unless a word for phone stands before them.
+PHONES = [
+    r"\+\d(?:[ .()/-]{0,3}\d){6,14}",
+    rf"\((?!{YEAR}\)|\d+\)[ .-]{{0,2}}{DATE})(?:\d{{3,5}}\)[ .-]{{0,2}}\d(?:[ .-]?\d){{3,9}}|\d\d\)[ .-]{{0,2}}\d(?:[ .-]?\d){{4,11}})",
+    r"(?<=(?i:phone|mobile?|handy|call|fax|tel|telefon|teléfono|móvil)[.:]? |(?:т|Т)ел[.:]? |(?:т|Т)елефон[.:]? )\d(?:[ ./-]?\d){6,14}",
+    r"0\d{1,4}(?:[ /-]{1,3}|\.)\d(?:[ .-]?\d){4,9}",
+    r"(?!\d+0{5}(?!\d))\d{7,15}",
+    rf"(?!{YEAR}[ -])(?:(?:\d{{2,5}}[ .-])?\d{{3}}-\d{{4}}|\d\d-\d{{5,8}}|\d{{3}}-\d{{5,8}}|\d{{4}}-\d{{5,8}}|\d{{5}}-\d{{6,8}})(?![ .-]\d)",
+    rf"(?!{YEAR}[ -])(?!\d{{1,3}}(?:[ .]\d{{3}})+(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-]\d\d(?![ .-]?\d))(?!(?:[ .-]?\d){{16}})\d{{2,5}}+(?:[ .-](?!{DATE})\d{{2,5}}+){{2,5}}+",
+]
+PHONE = rf"(?<![\w+$€£#])(?<!\d[.,:/-])(?=[+(\d])(?!{DATE})(?:{'|'.join(PHONES)})(?![\w-]|[.,:/]\d)"
 #: Types in order of preference, with patterns that have no capturing group.
 TYPES = {
     # Begins only where a run begins and never gives back, so that long runs of letters stay linear.
@@ -44,7 +59,7 @@ TYPES = {
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])",
+    "phone": PHONE,
     "name": rf"\b(?:{TITLES['f']}|{TITLES['m']})\.? {NAME}",
 }
 ENTITY = "|".join(TYPES.values())
