@@ -1,7 +1,9 @@
 """Personal data: detection and keyed surrogates, with DataFrame functions only.
 
-Entities are found by one pattern; each distinct entity gets one surrogate, derived from a secret key and the entity, so the same
-entity is the same surrogate everywhere (coreference) and different entities stay different (distinctness). A surrogate keeps the
+Entities are found by one pattern. What an entity is called by (mail address in lower case, digits of a phone, value of a secret, each
+part of a name without its title) gets one surrogate, derived from a secret key and that value, so the same entity in any spelling is
+the same surrogate everywhere (coreference) and different entities stay different (distinctness). The parts of a titled name are also
+replaced where they stand alone in the same document. Names that have no title anywhere in their document aren't detected. A surrogate keeps the
 entity's type and format: digits stay digits and separators stay where they are, hexadecimal stays hexadecimal in the same case,
 cards keep a valid check digit where the entity had one, mail addresses and host numbers move to ranges set aside for examples,
 and names after a title come from lists of the same gender and script.
@@ -43,7 +45,7 @@ PHONES = [
     r"\+\d(?:[ .()/-]{0,3}\d){6,14}",
     rf"\((?!{YEAR}\)|\d+\)[ .-]{{0,2}}{DATE})(?:\d{{3,5}}\)[ .-]{{0,2}}\d(?:[ .-]?\d){{3,9}}|\d\d\)[ .-]{{0,2}}\d(?:[ .-]?\d){{4,11}})",
     r"(?<=(?i:phone|mobile?|handy|call|fax|tel|telefon|teléfono|móvil)[.:]? |(?:т|Т)ел[.:]? |(?:т|Т)елефон[.:]? )\d(?:[ ./-]?\d){6,14}",
-    r"0\d{1,4}(?:[ /-]{1,3}|\.)\d(?:[ .-]?\d){4,9}",
+    r"0\d{1,4}(?:[ /-]{1,3}|\.)\d(?:[ .-]?\d){4,12}",
     r"(?!\d+0{5}(?!\d))\d{7,15}",
     rf"(?!{YEAR}[ -])(?:(?:\d{{2,5}}[ .-])?\d{{3}}-\d{{4}}|\d\d-\d{{5,8}}|\d{{3}}-\d{{5,8}}|\d{{4}}-\d{{5,8}}|\d{{5}}-\d{{6,8}})(?![ .-]\d)",
     rf"(?!{YEAR}[ -])(?!\d{{1,3}}(?:[ .]\d{{3}})+(?![ .-]?\d))(?!\d\d[ .-]\d\d[ .-]\d\d(?![ .-]?\d))(?!(?:[ .-]?\d){{16}})\d{{2,5}}+(?:[ .-](?!{DATE})\d{{2,5}}+){{2,5}}+",
@@ -58,7 +60,7 @@ TYPES = {
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "card": r"(?<![\d-])(?!00[1-9](?:[ -]?\d){10,12}(?![ -]?\d))\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": PHONE,
     "name": rf"\b(?:{TITLES['f']}|{TITLES['m']})\.? {NAME}",
 }
@@ -74,6 +76,62 @@ def kind_of(entity: Column) -> Column:
     return reduce(lambda found, t: F.when(entity.rlike(rf"^(?:{TYPES[t]})$"), F.lit(t)).otherwise(found), reversed([*TYPES]), F.lit("phone"))
 
 
+#: Country codes by their length.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+LEAD = r"^(?i:[a-z_ -]+\s*[=:]\s*[\"']?)"
+TITLE = rf"^(?:{TITLES['f']}|{TITLES['m']})\.? "
+#: A word that may be part of a name, and what follows the name in it.
+WORD, TAIL = r"(?<!\p{L})\p{Lu}[\p{L}'’-]+", r"(?:(?<=.)['’][sS])?['’-]*$"
+ITEMS = "array<struct<kind:string,entity:string>>"
+
+
+def _part(word: Column) -> Column:
+    """What a word of a name is looked up by."""
+    return F.lower(F.regexp_replace(F.regexp_replace(word, TAIL, ""), "’", "'"))
+
+
+def _as_part(word: Column, new: Column) -> Column:
+    """The surrogate in the case of the word, with its possessive or other tail."""
+    base = F.regexp_replace(word, TAIL, "")
+    return F.concat(F.when((F.length(base) > 1) & (base == F.upper(base)), F.upper(new)).otherwise(F.initcap(new)), F.substr(word, F.length(base) + 1))
+
+
+def _secret_value(entity: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(entity, LEAD, ""), "[\"']$", "")
+
+
+def items_of(entity: Column, kind: Column) -> Column:
+    """The values that a found entity stands for: one, or the parts of a name."""
+    plus = F.regexp_replace(F.regexp_replace(entity, r"^00(?=[1-9])", "+"), r"^(\+[\d .-]*)\(0\)", "$1")
+    plain = (
+        F.when(kind == "email", F.lower(entity)).when(kind == "secret", _secret_value(entity)).when(kind == "phone", F.regexp_replace(plus, "[^0-9+]", ""))
+        .when(kind.isin("iban", "card"), F.regexp_replace(entity, "[ -]", "")).otherwise(entity)
+    )
+    female = entity.rlike(rf"^(?:{TITLES['f']})\.? ")
+    words = F.split(F.regexp_replace(entity, TITLE, ""), " ")
+    role = lambda i: F.when(i + 1 == F.size(words), F.lit("surname")).when(female, F.lit("given f")).otherwise(F.lit("given m"))
+    named = F.transform(words, lambda w, i: F.struct(role(i).alias("kind"), _part(w).alias("entity")))
+    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), plain.alias("entity")))).cast(ITEMS)
+
+
+def _spelled(entity: Column, kind: Column, new: Column) -> Column:
+    """The surrogates of an entity's values in the entity's own spelling."""
+    first = new[0]
+    digits = F.regexp_replace(entity, "[^0-9A-Za-z]", "")
+    # What a spelling has before the number itself (00, a trunk 0) stays.
+    national = F.regexp_replace(first, COUNTRY, "")
+    shown = F.when(kind == "phone", F.concat(F.substr(digits, F.lit(1), F.length(digits) - F.length(national)), national)).otherwise(first)
+    gaps = F.split(entity, "[0-9A-Za-z]", -1)
+    grouped = F.concat_ws("", F.flatten(F.zip_with(gaps, F.concat(F.regexp_extract_all(shown, F.lit("[0-9A-Za-z]"), F.lit(0)), F.array(F.lit(""))), lambda g, c: F.array(g, c))))
+    title = F.regexp_extract(entity, TITLE, 0)
+    words = F.split(F.regexp_replace(entity, TITLE, ""), " ")
+    secret = F.concat(F.regexp_extract(entity, LEAD, 0), first, F.regexp_extract(entity, "[\"']$", 0))
+    return (
+        F.when(kind == "name", F.concat(title, F.concat_ws(" ", F.zip_with(words, new, _as_part)))).when(kind == "secret", secret)
+        .when(kind.isin("phone", "card", "iban"), grouped).otherwise(first)
+    )
+
+
 def _stream(entity: Column, kind: Column, counter: Column, key: str) -> Column:
     """128 keyed hexadecimal digits and 128 more for long entities."""
     seed = F.concat_ws("|", F.lit(key), kind, counter.cast("string"), entity)
@@ -94,7 +152,7 @@ def _name(sort: str, script: str, stream: Column, at: int, counter: Column) -> C
     """A name of the list at the first two draws; then one of counter + 2 syllables, so that each draw has more names."""
     syllables = [c + v for c in SOUNDS[script][0] for v in SOUNDS[script][1]]
     built = F.concat_ws("", F.transform(F.sequence(F.lit(1), counter + 2), lambda i: _pick(syllables, _draw(stream, i * 2 + at + 3, len(syllables)))))
-    return F.when(counter < 2, _pick(NAMES[sort, script], _draw(stream, at, len(NAMES[sort, script])))).otherwise(F.concat(F.initcap(built), F.lit(ENDS[sort, script])))
+    return F.when(counter < 2, _pick([n.lower() for n in NAMES[sort, script]], _draw(stream, at, len(NAMES[sort, script])))).otherwise(F.concat(built, F.lit(ENDS[sort, script])))
 
 
 def _masked(text: Column, stream: Column) -> Column:
@@ -136,26 +194,21 @@ def surrogate(entity: Column, kind: Column, counter: Column, key: str, stream: C
     email = F.concat(_masked(local, stream), longer, F.lit("@"), end)
     net = F.when(counter == 0, F.concat(F.lit("198."), (18 + _draw(stream, 0, 2)).cast("string"))).otherwise(F.concat((240 + _draw(stream, 3, 15)).cast("string"), F.lit("."), _draw(stream, 0, 256).cast("string")))
     host = F.concat(net, F.lit("."), _draw(stream, 1, 256).cast("string"), F.lit("."), _draw(stream, 2, 256).cast("string"))
-    lead = F.regexp_extract(entity, r"^(?i:[a-z_ -]+\s*[=:]\s*[\"']?)", 0)
-    secret = F.concat(lead, _masked(F.substr(entity, F.length(lead) + 1), stream))
     iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), _masked(F.substr(entity, F.lit(3)), stream))
     prefix = F.regexp_extract(entity, r"^(?:AKIA|gh[pousr]_|sk-|eyJ)", 0)
     token = F.concat(prefix, _masked(F.substr(entity, F.length(prefix) + 1), stream))
-    title = F.regexp_extract(entity, rf"^(?:{TITLES['f']}|{TITLES['m']})\.? ", 0)
-    own = F.substr(entity, F.length(title) + 1)
+    cyrillic = entity.rlike(r"\p{IsCyrillic}")
 
-    def name(gender: str, script: str) -> Column:
-        surname = _name("s", script, stream, 2, counter)
-        return F.when(own.contains(" "), F.concat_ws(" ", _name(gender, script, stream, 1, counter), surname)).otherwise(surname)
+    def name(sort: str, at: int) -> Column:
+        return F.when(cyrillic, _name(sort, "cyrillic", stream, at, counter)).otherwise(_name(sort, "latin", stream, at, counter))
 
-    female, cyrillic = title.rlike(rf"^(?:{TITLES['f']})\b"), own.rlike(r"\p{IsCyrillic}")
-    person = F.concat(title, F.when(female & cyrillic, name("f", "cyrillic")).when(female, name("f", "latin")).when(cyrillic, name("m", "cyrillic")).otherwise(name("m", "latin")))
-    country = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
+    country = F.coalesce(F.nullif(F.regexp_extract(entity, COUNTRY, 0), F.lit("")), F.regexp_extract(entity, "^0?", 0))
     phone = F.concat(country, _masked(F.substr(entity, F.length(country) + 1), stream))
     plain = _masked(entity, stream)
     return (
-        F.when(kind == "email", email).when(kind == "ipv4", host).when(kind == "secret", secret).when(kind == "key", token).when(kind == "iban", iban)
-        .when(kind == "card", _with_check_digit(plain, entity)).when(kind == "name", person).when(kind == "phone", phone).otherwise(plain)
+        F.when(kind == "email", email).when(kind == "ipv4", host).when(kind == "key", token).when(kind == "iban", iban)
+        .when(kind == "card", _with_check_digit(plain, entity)).when(kind == "phone", phone)
+        .when(kind == "given f", name("f", 1)).when(kind == "given m", name("m", 1)).when(kind == "surname", name("s", 2)).otherwise(plain)
     )
 
 def _format(entity: Column) -> Column:
@@ -182,12 +235,12 @@ def _unique_surrogates(entities: DataFrame, key: str, store: Scratch) -> DataFra
         named = [F.col(c) for c in ("entity", "kind", "counter")]
         streams = open_.withColumn("_stream", _stream(*named, key))  # once for each entity, not for each character
         drawn = store.step(streams.withColumn("surrogate", surrogate(*named, key, F.col("_stream"))).drop("_stream"), f"drawn{step}")
-        winners = drawn.groupBy("surrogate").agg(F.min("entity").alias("winner"))
+        winners = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "entity")).alias("winner"))
         taken = entities.select(F.col("entity").alias("surrogate"))
         for before in done:
             taken = taken.unionByName(before.select("surrogate"))
         free = store.step(winners.join(taken, "surrogate", "left_anti"), f"free{step}")
-        won = drawn.join(free, "surrogate", "left").withColumn("ok", F.coalesce(F.col("winner") == F.col("entity"), F.lit(False)))
+        won = drawn.join(free, "surrogate", "left").withColumn("ok", F.coalesce(F.col("winner") == F.struct("kind", "entity"), F.lit(False)))
         won = store.step(won.select("entity", "kind", "counter", "surrogate", "ok"), f"won{step}")
         done.append(won.where("ok").select("entity", "kind", "surrogate"))
         open_ = won.where("not ok").select("entity", "kind", (F.col("counter") + 1).alias("counter"))
@@ -205,7 +258,7 @@ def replace_personal_data(documents: DataFrame, key: str, name: str = "pii") ->
     surrogates; an empty table gives no rows. A column named n_entities is replaced; other columns pass through.
     """
     store = Scratch(documents.sparkSession, name)
-    hidden = [f"_{c}" for c in ("rid", "found", "parts")]
+    hidden = [f"_{c}" for c in ("rid", "found", "parts", "new", "names")]
     found = F.regexp_extract_all(F.col("text"), F.lit(f"({ENTITY})"), F.lit(1))
     # A cheap look first: every entity has a digit, an @ or a title.
     hint = F.col("text").rlike(rf"[0-9@]|\b(?:{TITLES['f']}|{TITLES['m']})\.? |(?i:token|secret|passw|api[_-]?key|access[_-]?key)")
@@ -215,12 +268,27 @@ def replace_personal_data(documents: DataFrame, key: str, name: str = "pii") ->
     parts = F.split(F.col("text"), ENTITY, -1)
     held = store.step(marked.where(rich).select("*", F.monotonically_increasing_id().alias("_rid"), parts.alias("_parts")), "held")
     met = held.select("_rid", F.posexplode("_found").alias("_at", "entity"))
-    entities = store.step(met.groupBy("entity").agg(F.count("*").alias("n")).select("entity", kind_of(F.col("entity")).alias("kind")), "entities")
-    known = store.step(_unique_surrogates(entities, key, store).select("entity", "surrogate"), "surrogates")
+    surfaces = met.groupBy("entity").agg(F.count("*").alias("n")).select("entity", kind_of(F.col("entity")).alias("kind"))
+    surfaces = store.step(surfaces.withColumn("items", items_of(F.col("entity"), F.col("kind"))), "surfaces")
+    items = surfaces.select(F.col("entity").alias("surface"), F.col("kind").alias("type"), F.posexplode("items").alias("at", "item")).select("surface", "type", "at", "item.*")
+    values = store.step(items.select("kind", "entity").distinct(), "entities")
+    known = _unique_surrogates(values, key, store)
+    parts_of = items.join(known, ["kind", "entity"]).groupBy("surface", "type").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate", "kind", "entity"))).alias("new"))
+    spelling = _spelled(F.col("surface"), F.col("type"), F.col("new.surrogate"))
+    known = store.step(parts_of.select(F.col("surface").alias("entity"), spelling.alias("surrogate"), F.when(F.col("type") == "name", F.col("new")).alias("names")), "surrogates")
     # Both sides are plain tables, so the rows of an entity that is everywhere can be split.
-    spelled = met.join(known, "entity").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))).alias("_new"))
-    whole = held.join(spelled, "_rid")
-    text = F.concat_ws("", F.flatten(F.zip_with("_parts", F.concat(F.col("_new.surrogate"), F.array(F.lit(""))), lambda p, s: F.array(p, s))))
-    replaced = whole.withColumn("text", text).withColumn("n_entities", F.size("_found"))
+    spelled = met.join(known.drop("names"), "entity").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))).alias("_new"))
+    # A part that is both a given name and a surname in one document stands for the surname.
+    named = met.join(known.where("names is not null"), "entity").select("_rid", F.explode("names").alias("x"))
+    named = named.groupBy("_rid", "x.entity").agg(F.max_by("x.surrogate", F.struct("x.kind", "x.surrogate")).alias("surrogate"))
+    named = named.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_names"))
+    whole = held.join(spelled, "_rid").join(named, "_rid", "left")
+    alone = lambda p: F.regexp_extract_all(p, F.lit(WORD), F.lit(0))
+    renamed = lambda w: F.coalesce(_as_part(w, F.col("_names")[_part(w)]), w)
+    between = lambda p: F.concat_ws("", F.flatten(F.zip_with(F.split(p, WORD, -1), F.concat(F.transform(alone(p), renamed), F.array(F.lit(""))), lambda g, w: F.array(g, w))))
+    more = F.aggregate("_parts", F.lit(0), lambda n, p: n + F.size(F.filter(alone(p), lambda w: F.map_contains_key("_names", _part(w)))))
+    pieces = F.when(F.col("_names").isNotNull(), F.transform("_parts", between)).otherwise(F.col("_parts"))
+    text = F.concat_ws("", F.flatten(F.zip_with(pieces, F.concat(F.col("_new.surrogate"), F.array(F.lit(""))), lambda p, s: F.array(p, s))))
+    replaced = whole.withColumn("n_entities", F.size("_found") + F.when(F.col("_names").isNotNull(), more).otherwise(0)).withColumn("text", text)
     columns = [c for c in documents.columns if c != "n_entities"] + ["n_entities"]
     return plain.select(*columns).unionByName(replaced.drop(*hidden).select(*columns))

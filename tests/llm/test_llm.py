@@ -211,6 +211,25 @@ def test_surrogates_keep_their_form_when_many(spark):
     assert all(re.fullmatch("Frau [A-Z][a-z]+", x) for x in got[:1000]) and all(re.fullmatch("господин [А-Я][а-я]+", x) for x in got[1000:])
 
 
+def test_one_entity_in_any_spelling(spark):
+    texts = [
+        "Herr Karl Schmidt came. Herr. Schmidt left, Schmidt's coat stayed, SCHMIDT rang; Karl Schmidt is back. Smith too.", "Frau Schmidt called", "Schmidt is a smith",
+        "Jo.Doe@Corp.com and jo.doe@corp.com", "+49 170 1234567 or +491701234567 or +49 (0)170 123 4567 or 0049 170 1234567", 'token = "abcdefghij0123456789" password: abcdefghij0123456789', "4610 5689 0197 0798 is 4610568901970798",
+    ]
+    got = {r.doc_id: r for r in pii.replace_personal_data(rows(spark, texts), "k").collect()}
+    given, last = re.match(r"Herr (\w+) (\w+) came", got[0].text).groups()
+    assert got[0].text == f"Herr {given} {last} came. Herr. {last} left, {last}'s coat stayed, {last.upper()} rang; {given} {last} is back. Smith too."
+    assert (got[1].text, got[2].text, got[0].n_entities) == (f"Frau {last} called", texts[2], 6) and last != "Schmidt"
+    a, b = got[3].text.split(" and ")
+    assert a == b and a.endswith(".example.org")
+    numbers = [re.sub(r"\D", "", x)[-10:] for x in got[4].text.split(" or ")]
+    assert len(set(numbers)) == 1 and numbers[0] != "1701234567" and [re.sub(r"\d", "0", x) for x in got[4].text.split(" or ")] == [re.sub(r"\d", "0", x) for x in texts[4].split(" or ")]
+    one, two = re.fullmatch(r'token = "(\w{20})" password: (\w{20})', got[5].text).groups()
+    assert one == two != "abcdefghij0123456789"
+    a, b = got[6].text.split(" is ")
+    assert a.replace(" ", "") == b and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", a)
+
+
 PHONES = ["+14155552671", "5551234567", "04155552671", "(415)5552671", "+49 170 1234567", "+33 6 12 34 56 78", "+49 (0)170 1234567", "310.555.4510", "555-1234", "01 23 45 67 89", "030/1234567", "555 123 4567"]
 NUMBERS = ["12.50", "2019-2020", "2024-01-15", "2024-01-15 12:30", "10 000", "in 2019 100 people", "in 2019 1000000 people", "10 000 000", "1 234 567,89", "1.234.567", "3.1415926", "20240115", "15.01.2024", "1000-2000", "100 2024-01-15", "$1234567", "1234567.89"]
 
