@@ -111,28 +111,33 @@ def search(objects: DataFrame, queries: DataFrame, distance: str, payload: str,
     """Top k within a radius by any distance expression, over objects that pass the filter.
 
     The filter stands in the join condition, so it runs before the distance; the distance is computed once, in a struct that a
-    later test reads. queries must fit a block (BLOCK rows): they are sent to every executor. bound is a further condition over
-    objects and queries (columns of queries have the prefix q_), as pivot filters give it.
+    later test reads. Queries go to every executor in blocks of BLOCK rows, one scan of the objects for each block. bound is a
+    further condition over objects and queries (columns of queries have the prefix q_), as pivot filters give it.
     """
-    n = queries.limit(BLOCK + 1).count()
-    if n > BLOCK:
-        raise ValueError(f"search takes at most {BLOCK} queries at once; cut them into blocks")
-    asked = F.broadcast(queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]))
+    schema, spark = queries.schema, queries.sparkSession
+    named = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    if queries.limit(BLOCK + 1).count() <= BLOCK:
+        blocks = [named]
+    else:
+        blocks = [spark.createDataFrame(b, schema).toDF(*named.columns) for b in blocks_of(queries, queries.columns, BLOCK)]
     condition = F.col(payload).isNotNull() & F.col(f"q_{payload}").isNotNull()
     if filter is not None:
         condition &= filter(F.col, lambda c: F.col(f"q_{c}"))
     if bound is not None:
         condition &= bound
     d = DISTANCES[distance].of(F.col(f"q_{payload}"), F.col(payload)).cast("double")
-    if radius is not None:
+
+    def meet(asked: DataFrame) -> DataFrame:
+        both = objects.join(F.broadcast(asked), condition)
+        if radius is None:
+            return both.select(F.col(f"q_{id}").alias("qid"), F.col(id).alias("id"), d.alias("distance"))
         r = radius if isinstance(radius, Column) else F.lit(radius)
         held = F.array(F.struct(d.alias("d"), r.alias("r")))
         # explode keeps the optimizer from computing the distance once for the test and once for the result.
-        pairs = objects.join(asked, condition).select(F.col(f"q_{id}").alias("qid"), F.col(id).alias("id"), F.explode(held).alias("x")).where("x.d <= x.r")
-        pairs = pairs.select("qid", "id", F.col("x.d").alias("distance"))
-    else:
-        pairs = objects.join(asked, condition).select(F.col(f"q_{id}").alias("qid"), F.col(id).alias("id"), d.alias("distance"))
-    return ranked(pairs, k, largest)
+        pairs = both.select(F.col(f"q_{id}").alias("qid"), F.col(id).alias("id"), F.explode(held).alias("x")).where("x.d <= x.r")
+        return pairs.select("qid", "id", F.col("x.d").alias("distance"))
+
+    return ranked(reduce(DataFrame.unionByName, map(meet, blocks)), k, largest)
 
 
 def full_match(objects: DataFrame, queries: DataFrame, distance: str = "l1", id: str = "id", vector: str = "v", filter_same: bool = False, largest: float = 1.7976931348623157e308) -> DataFrame:

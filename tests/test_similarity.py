@@ -44,6 +44,14 @@ def test_search_equals_a_scan(spark, k, radius):
     assert as_set(search.search(objects, queries, "l1", "v", k, radius)) == want
 
 
+def test_search_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    objects, x = points(spark)
+    queries, q = points(spark, 10, seed=2)
+    assert as_set(search.search(objects, queries, "l1", "v", 3)) == brute(x, q, 3)
+    assert as_set(search.search(objects, queries, "l1", "v", None, 1.1)) == brute(x, q, None, 1.1)
+
+
 def test_farthest_and_ties_go_by_id(spark):
     objects = spark.createDataFrame([(3, [1.0]), (1, [1.0]), (2, [0.0]), (4, None)], COLUMNS)
     queries = spark.createDataFrame([(0, [0.0])], COLUMNS)
