@@ -158,6 +158,13 @@ def test_index_lifecycle(spark, kind, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/r").columns == stores.REPORT
 
 
+def test_calibrated_reads_reach_the_recall(spark):
+    objects, x = points(spark, 150, 8)
+    made = index.Builder(objects, "sketch", 6).freeze(ks=(3,), alpha=0.0, sample=150)
+    found, exact = as_set(made.search(objects, 3)), brute(x, x, 3)
+    assert len({r[:2] for r in found} & {r[:2] for r in exact}) >= 0.9 * len(exact)
+
+
 def test_stream_answers_as_the_index_does(spark, tmp_path):
     from nearfield.streaming.search import answer_stream
 
