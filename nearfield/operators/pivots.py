@@ -52,7 +52,7 @@ def with_pivot_distances(objects: DataFrame, pivots: np.ndarray, distance: str =
 
 
 def sparse_spatial(x: np.ndarray, n: int, alpha: float = 0.5, kind: str = "l1") -> list[int]:
-    """Rows at least mean + alpha * std of the sample's distances apart, in row order; the sample ends the search."""
+    """Rows at least mean - alpha * std of the sample's distances apart, in row order; the sample ends the search."""
     d = distances_between(x, x, kind)
     pairs = d[np.triu_indices(len(x), 1)]
     limit = pairs.mean() - alpha * pairs.std(ddof=1) if len(pairs) > 1 else 0.0
