@@ -45,14 +45,21 @@ class Scratch:
         self.spark = spark
         bounded_batches(spark)
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.made = 0
+        self.made: list[str] = []
+        system, path = self._at(self.path)
+        system.mkdirs(path)
+        system.deleteOnExit(path)  # what a returned table reads stays until the application ends
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
     def step(self, frame: DataFrame, name: str) -> DataFrame:
-        self.made += 1
-        at = f"{self.path}/{self.made:03d}-{name}"
+        at = f"{self.path}/{len(self.made):03d}-{name}"
+        self.made.append(at)
         frame.write.parquet(at)
         out = self.spark.read.schema(frame.schema).parquet(at)
         out.scratch_path = at
@@ -61,8 +68,16 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             if at := getattr(frame, "scratch_path", None):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                system, path = self._at(at)
+                system.delete(path, True)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Frees all tables but these."""
+        kept = {frame.scratch_path for frame in frames}
+        for at in self.made:
+            if at not in kept:
+                system, path = self._at(at)
+                system.delete(path, True)
 
     def sweep(self) -> None:
         """Lets Spark delete the shuffle files of steps that are over, which it does when the driver collects its garbage."""
@@ -70,6 +85,21 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed_rows(documents: DataFrame, *more: Column) -> DataFrame:
+    """text, row (a struct of all other columns), and more: no name inside an operator can clash with a column of the table."""
+    others = [F.col(quoted(c)) for c in documents.columns if c != "text"]
+    return documents.select("text", F.struct(*others).alias("row"), *more)
+
+
+def unpacked_rows(packed: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that packed_rows put together."""
+    return packed.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

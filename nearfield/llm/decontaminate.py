@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, slices
+from nearfield.llm.common import bounded_batches, packed_rows, slices, unpacked_rows
 from nearfield.llm.words import hashed_words, window_hashes
 
 FOUND = "row_key long, item_id long, coverage double, item_words int, tiles array<struct<item_at:int,doc_at:int,words:int>>"
@@ -172,13 +172,17 @@ def benchmark_passages(documents: DataFrame, benchmark: DataFrame, min_match: in
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, min_match: int = 4, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents that hold no item, with all columns; each row is judged in place."""
+    """The rows of documents that hold no item, with all columns; each row is judged in place.
+
+    Null and empty texts hold nothing and stay; null ids, repeated rows and columns of any name pass through; a coverage equal to
+    the threshold counts as held; a text of any length is compared whole; an empty table gives no rows, an empty benchmark all.
+    """
     bounded_batches(documents.sparkSession)
-    out = documents
+    out = packed_rows(documents)
     for items in _blocks(benchmark):
         sent = documents.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words, or one item
-        out = out.mapInArrow(_without(sent, min_match, threshold), documents.schema)
-    return out
+        out = out.mapInArrow(_without(sent, min_match, threshold), out.schema)
+    return unpacked_rows(out, documents.columns)
 
 
 def _without(sent, min_match: int, threshold: float):

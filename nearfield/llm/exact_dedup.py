@@ -4,8 +4,8 @@ A digit is a run of successive bytes of the normalised text: 32 bytes first, the
 Every round splits the groups that still hold several documents by their next digit; a group of one document is done, and so are
 the documents of a group whose text ends within the digit: they are equal byte by byte, without any digest. Digits are columns of
 one table, so a round reads its own bytes only. A group is counted by partial aggregation and found again by an equi-join whose
-large partitions Spark can split, so no task gathers a group of copies. All joins
-are sort-merge joins, whatever the number of copies: what is shuffled stays in proportion to the texts.
+large partitions Spark can split, so no task gathers a group of copies. All joins of digits are sort-merge joins, whatever the number
+of copies: what is shuffled stays in proportion to the texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch
+from nearfield.llm.common import Scratch, quoted
 
 #: Ends of the digits in bytes; the last is beyond the longest string that Spark holds.
 ENDS = [32 * 8**k for k in range(9)] + [1 << 31]
@@ -25,18 +25,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, same_rows.
+def _decided(documents: DataFrame, others: list[Column], store: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rid, keep_id, group_size, kept) of every row that shares its text, and the written rows: rid, doc_id, text_sha256, others.
 
-    A null text counts as empty. Of equal texts the row of the smallest doc_id stays; a null doc_id loses to any other (keep_id is
-    null when all are null); of rows that also share the doc_id one stays, and same_rows says how many share both. An empty table
-    gives no rows; other columns are ignored.
+    All tables but these two are deleted again.
     """
-    store = Scratch(documents.sparkSession, name)
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"))
-    whole = text.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.sha2("t", 256).alias("text_sha256"), F.col("t").cast("binary").alias("b"))
+    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"), *others)
+    names = [c for c in text.columns if c not in ("doc_id", "t")]
+    whole = text.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.sha2("t", 256).alias("text_sha256"), F.col("t").cast("binary").alias("b"), *names)
     digits = [F.substring("b", low + 1, high - low).alias(f"d{i}") for i, (low, high) in enumerate(zip([0, *ENDS], ENDS, strict=False))]
-    table = store.step(whole.select("doc_id", "rid", "text_sha256", *digits), "digits")
+    table = store.step(whole.select("doc_id", "rid", "text_sha256", *names, *digits), "digits")
 
     ended: list[DataFrame] = []
     open_ = table.select("rid", F.lit(0).cast("long").alias("node"), F.col("d0").alias("digit"))
@@ -54,26 +52,35 @@ def exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> DataFra
     members = store.step(reduce(DataFrame.unionByName, ended).join(table.select("rid", "doc_id"), "rid"), "members")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     groups = store.step(members.groupBy("group").agg(F.min(first).alias("first"), F.count("*").alias("size")), "groups")
-    same = members.groupBy("group", "doc_id").agg(F.min("rid").alias("rid"), F.count("*").alias("same")).where("same > 1")
-    decided = members.join(groups, "group").select("rid", F.col("first.doc_id").alias("keep"), "size", (F.col("first.rid") == F.col("rid")).alias("stays"))
-    # Rows that share group and doc_id matter only where one of them stays: the one of the smallest rid.
-    decided = decided.join(same.select("rid", "same"), "rid", "left")
-    grouped = F.col("size").isNotNull()
+    decided = members.join(groups, "group").select("rid", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("first.rid") == F.col("rid")).alias("kept"))
+    decided = store.step(decided, "decided")
+    store.keep_only(decided, table)
+    return decided, table
+
+
+def exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    A null text counts as empty. Of equal texts the row of the smallest doc_id stays; a null doc_id loses to any other (keep_id is
+    null when all are null); of rows that also share the doc_id the first read stays. A text of any length is split into its
+    digits; no step holds more than one row's. An empty table gives no rows; other columns are ignored.
+    """
+    decided, table = _decided(documents, [], Scratch(documents.sparkSession, name))
     return table.select("rid", "doc_id", "text_sha256").join(decided, "rid", "left").select(
         "doc_id",
-        F.when(grouped, F.col("keep")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce("stays", F.lit(True)).alias("kept"),
+        F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("kept", F.lit(True)).alias("kept"),
         "text_sha256",
-        F.coalesce("same", F.lit(1)).cast("long").alias("same_rows"),
     )
 
 
 def drop_exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> DataFrame:
-    """The rows of documents that stay, with all their columns; see exact_duplicates for which they are."""
-    decided = exact_duplicates(documents, name).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("same_rows").alias("_same"))
-    marked = documents.withColumn("_own", F.sha2(normalised(F.col("text")), 256))
-    kept = marked.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    once = kept.where("_same = 1")
-    repeated = kept.where("_same > 1").dropDuplicates(["_id", "_own"])
-    return once.unionByName(repeated).select(*documents.columns)
+    """The rows of documents that stay, with all their columns unchanged; see exact_duplicates for which they are.
+
+    Rows are followed by their own number from the radix rounds to the result; no digest takes part.
+    """
+    row = F.struct(*(F.col(quoted(c)) for c in documents.columns)).alias("row")
+    decided, table = _decided(documents, [row], Scratch(documents.sparkSession, name))
+    stays = table.select("rid", "row").join(decided.where("not kept").select("rid"), "rid", "left_anti")
+    return stays.select(*(F.col("row")[c].alias(c) for c in documents.columns))

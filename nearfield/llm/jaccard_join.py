@@ -2,8 +2,10 @@
 
 1. Every document becomes a sorted array of 64-bit shingle hashes. Documents of equal sets form one class; its smallest row stands
    for it from here on.
-2. Stars: classes that share one of their smallest hashes are compared with the first class of that hash, exactly. The links give
-   first components, so that a large group of near copies costs a few comparisons for each member.
+2. Stars: classes that share one of their smallest hashes are compared with two centres of that hash, exactly: its first class, and
+   the class whose bitmap is nearest to that one's. Among copies with changes of their own, the difference from the first class
+   grows with a copy's changes, so the second centre is a copy with few changes, which links with most others. The links give first
+   components, so that a large group of near copies costs a few comparisons for each member.
 3. Prefixes: two linked sets share a hash among the first s - ceil(0.8 s) + 1 of each, in any fixed order of hashes (the prefix
    filter); common ones go last in our order, by counts in hashed buckets. Only a hash whose holders lie in two or more components
    can still show a new link. Such hashes, joined with a band of set sizes, are the tiles: a set meets the sets of its own and the
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from nearfield.llm.common import Scratch, slices
+from nearfield.llm.common import Scratch, packed_rows, slices, unpacked_rows
 from nearfield.llm.components import components
 from nearfield.llm.words import hashed_words, mixed, window_hashes
 
@@ -33,7 +36,8 @@ ORDER_BUCKETS, ORDER_SLICES = 1 << 20, 64
 FILTER_POWER = 29
 #: Bands of tiles as a power of the largest ratio of linked sizes.
 BAND_POWER = 4
-LATEST = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64()), ("stars", pa.list_(pa.int64())), ("text", pa.string()), ("bits", pa.list_(pa.int64())), ("counted", pa.binary())])
+MADE = "n int, d0 long, d1 long, stars array<long>, bits array<long>, counted binary"
+MADE_ARROW = [("n", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64()), ("stars", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("counted", pa.binary())]
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -62,25 +66,28 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def _signatures(size: int):
+    """The columns of MADE beside each row of (doc_id, text, row); bucket counts travel as extra rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(ORDER_BUCKETS, np.int64)
+        totals, schema = np.zeros(ORDER_BUCKETS, np.int64), None
         for batch in batches:
-            for piece in slices(batch, limit=2_000_000):
+            schema = schema or pa.schema([*batch.schema, *MADE_ARROW])
+            for piece in slices(batch, limit=1_000_000):
+                columns: list[list] = [[], [], [], [], []]
                 sets = shingle_sets(piece.column("text"), size)
-                columns = [[], [], [], [], []]
                 for own in sets:
                     # Two checksums of the whole set, 128 bits together.
                     low = int(own.sum(dtype=np.uint64)) if len(own) else 0
                     high = int(np.bitwise_xor.reduce(own * (own | np.uint64(1)))) if len(own) else 0
                     for c, v in zip(columns, (len(own), low - (low >> 63 << 64), high - (high >> 63 << 64), signed(own[:STARS]), parity_bits(own)), strict=True):
                         c.append(v)
-                totals += np.bincount(np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64) >> np.uint64(44), minlength=ORDER_BUCKETS).astype(np.int64)
-                n, d0, d1, stars, bits = columns
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int32()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(stars, pa.list_(pa.int64())), piece.column("text").cast(pa.string()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(n), pa.binary())], schema=LATEST)
+                totals += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(44)).astype(np.int64), minlength=ORDER_BUCKETS)
+                made = [pa.array(c, kind) for c, (_, kind) in zip(columns, MADE_ARROW, strict=False)]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *made, pa.nulls(len(piece), pa.binary())], schema=schema)
         if totals.any():
-            # The task's bucket counts travel as extra rows, one for each slice of buckets; they are added up below.
+            # The task's bucket counts, one row for each slice of buckets; they are added up below.
             parts = totals.astype("<i8").reshape(ORDER_SLICES, -1)
-            yield pa.RecordBatch.from_pylist([{"n": i, "counted": own.tobytes()} for i, own in enumerate(parts)], schema=LATEST)
+            yield pa.RecordBatch.from_pylist([{"n": i, "counted": own.tobytes()} for i, own in enumerate(parts)], schema=schema)
 
     return run
 
@@ -113,15 +120,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
                 yield piece.select(["a", "b"]).filter(pa.array(keep))
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    own = Members(met).inside(sets.select("rid", "text"))  # other texts need not be shuffled
+    own = _inside(sets.select("rid", "text"), _members(met))  # other texts need not be shuffled
     a = own.select(F.col("rid").alias("a"), F.col("text").alias("ta"))
     b = own.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _differing() -> Column:
+    return sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(BANDS)), F.lit(0))
+
+
 def _close_enough(percent: int) -> Column:
     """Sizes allow the similarity, and so do the bits that differ: overlap <= (na + nb - differing bits) / 2."""
-    differ = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(BANDS)), F.lit(0))
+    differ = _differing()
     total = F.col("na") + F.col("nb")
     sizes = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return sizes & ((100 + percent) * (total - differ) >= 2 * percent * total)
@@ -131,13 +142,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(size: int, percent: int, order, wanted=None):
-    """Rows (key, component) of every set; with a bit filter of hashes, only those that pass it, with what a tile needs."""
+def _prefixes(size: int, percent: int, order, wanted=None, without=None):
+    """Rows (key, component) of every set; with a bit filter of hashes, only those that pass it, with what a tile needs.
+
+    Rows that may be among the members of without are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = order.value
         for batch in batches:
-            for piece in slices(batch, limit=2_000_000):
+            if without:
+                batch = batch.filter(pa.array(~_among(batch, without.value)))
+            for piece in slices(batch, limit=1_000_000):
                 sets = shingle_sets(piece.column("text"), size)
                 keys, rows = [], []
                 for row, own in enumerate(sets):
@@ -184,41 +200,54 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(mixed(np.asarray(batch.column("rid")).astype(np.uint64))))], ["key"])
 
 
-class Members:
-    """Some rows, known by a bounded bit filter: splits a table into rows surely outside and rows that may be among them."""
+def _among(batch: pa.RecordBatch, wanted) -> np.ndarray:
+    return _hits(mixed(np.asarray(batch.column("rid")).astype(np.uint64)), wanted)
 
-    def __init__(self, rows: DataFrame):
-        self.filter = rows.sparkSession.sparkContext.broadcast(_bit_filter(rows.select("rid").mapInArrow(_spread, "key long")))
 
-    def _part(self, table: DataFrame, inside: bool) -> DataFrame:
-        wanted = self.filter
+def _members(rows: DataFrame):
+    """A bounded bit filter of the rids of rows: tells rows surely outside from rows that may be among them."""
+    return rows.sparkSession.sparkContext.broadcast(_bit_filter(rows.select("rid").mapInArrow(_spread, "key long")))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_hits(mixed(np.asarray(batch.column("rid")).astype(np.uint64)), wanted.value) == inside))
 
-        return table.mapInArrow(run, table.schema)
+def _inside(table: DataFrame, wanted) -> DataFrame:
+    """The rows of table that may be among the members."""
 
-    def inside(self, table: DataFrame) -> DataFrame:
-        return self._part(table, True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_among(batch, wanted.value)))
 
-    def outside(self, table: DataFrame) -> DataFrame:
-        return self._part(table, False)
+    return table.mapInArrow(run, table.schema)
 
 
-def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name: str = "jaccard-join") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_size (documents of an equal set).
+def _stars(sets: DataFrame, percent: int, store: Scratch) -> DataFrame:
+    """Pairs (a, b) of rows close enough by their bitmaps, each a centre of a hash and another holder of it."""
+    about = sets.select("rid", "n", "bits")
 
-    Sets of distinct shingles of size words (all words as one where there are fewer) link when their Jaccard similarity is at
-    least percent / 100. A null or empty text has no shingles and links with nothing: its component is its own doc_id.
-    component_id is the smallest doc_id that links reach; rows of a null doc_id take part and have a null component only when all
-    they reach are null. Repeated rows link with each other. An empty table gives no rows; other columns are ignored.
+    def described(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(about.select(F.col("rid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"{side}_bits")), side)
+        return pairs
+
+    small = sets.select("rid", F.explode("stars").alias("key"))
+    # Tables are written before the joins that may meet a large group, so that Spark can split its rows.
+    centres = store.step(small.groupBy("key").agg(F.min("rid").alias("a"), F.count("*").alias("held")).where("held > 1"), "centres")
+    first = described(small.join(centres, "key").where("rid <> a").select("key", "held", "a", F.col("rid").alias("b")))
+    first = store.step(first.select("key", "held", "a", "b", (_differing() / (F.col("na") + F.col("nb"))).alias("apart"), _close_enough(percent).alias("close")), "first-spokes")
+    nearest = first.where("held > 2").groupBy("key").agg(F.min(F.struct("apart", "b")).alias("least")).select("key", F.col("least.b").alias("centre"))
+    nearest = store.step(nearest, "second-centres")
+    second = small.join(nearest, "key").where("rid <> centre").select(F.least("rid", "centre").alias("a"), F.greatest("rid", "centre").alias("b")).distinct()
+    second = described(second).where(_close_enough(percent)).select("a", "b")
+    return store.step(first.where("close").select("a", "b").unionByName(second).distinct(), "star-pairs")
+
+
+def _classified(rows: DataFrame, size: int, percent: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rid, doc_id, n, class_size, root) of every row of (doc_id, text, ...), and the written rows with their rid.
+
+    All tables but these two are deleted again.
     """
-    spark = documents.sparkSession
-    store = Scratch(spark, name)
-    picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kinds = "doc_id long, n int, d0 long, d1 long, stars array<long>, text string, bits array<long>, counted binary"
-    made = store.step(picked.mapInArrow(_signatures(size), kinds).withColumn("rid", F.monotonically_increasing_id()), "sets")
+    spark = rows.sparkSession
+    made = StructType([StructField(f.name, f.dataType) for f in rows.schema] + StructType.fromDDL(MADE).fields)
+    made = store.step(rows.mapInArrow(_signatures(size), made).withColumn("rid", F.monotonically_increasing_id()), "sets")
     everyone = made.where("counted is null")
 
     counted = made.where("counted is not null").select(F.col("n").alias("part"), "counted")
@@ -232,64 +261,72 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name
     member = store.step(everyone.select("rid", "doc_id", "n", "d0", "d1").join(classes, ["n", "d0", "d1"], "left").select("rid", "doc_id", "n", F.coalesce("head", "rid").alias("head"), F.coalesce("class_size", F.lit(1)).alias("class_size")), "classes")
     copies = member.where("rid <> head").select("rid")
     sets = full.join(copies, "rid", "left_anti").select("rid", "n", "stars", "bits")
-
-    # Stars: each class against the first class of each of its smallest hashes.
-    small = sets.select("rid", F.explode("stars").alias("key"))
-    centres = small.groupBy("key").agg(F.min("rid").alias("centre"), F.count("*").alias("held")).where("held > 1")
-    centres = store.step(centres, "centres")
-    spokes = small.join(centres, "key").where("rid <> centre").select(F.col("centre").alias("a"), F.col("rid").alias("b")).distinct()
-    about = sets.select("rid", "n", "bits")
-
-    def described(side: str) -> DataFrame:
-        return about.select(F.col("rid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"{side}_bits"))
-
-    near = store.step(spokes.join(described("a"), "a").join(described("b"), "b").where(_close_enough(percent)).select("a", "b"), "star-pairs")
-    first_links = store.step(_verified(near, full, size, percent), "star-links")
+    first_links = store.step(_verified(_stars(sets, percent, store), full, size, percent), "star-links")
     first = components(first_links, store)
 
     # Prefixes: hashes whose holders lie in several components.
     store.sweep()
     texts = full.select("rid", "n", "bits", "text")
-    special = Members(copies.unionByName(first.select(F.col("node").alias("rid"))))
-    some = special.inside(texts).join(copies, "rid", "left_anti").join(first.withColumnRenamed("node", "rid"), "rid", "left")
+    special = _members(copies.unionByName(first.select(F.col("node").alias("rid"))))
+    some = _inside(texts, special).join(copies, "rid", "left_anti").join(first.withColumnRenamed("node", "rid"), "rid", "left")
     some = store.step(some.select("rid", "n", "bits", "text", F.coalesce("root", "rid").alias("comp")), "placed")
-    placed = special.outside(texts).withColumn("comp", F.col("rid")).unionByName(some)
-    held = placed.select("comp", "text").mapInArrow(_prefixes(size, percent, order), "key long, comp long")
+    rest = texts.withColumn("comp", F.col("rid"))
+
+    def prefixes(kinds: str, wanted=None) -> DataFrame:
+        return rest.mapInArrow(_prefixes(size, percent, order, wanted, special), kinds).unionByName(some.mapInArrow(_prefixes(size, percent, order, wanted), kinds))
+
+    held = prefixes("key long, comp long")
     mixed_keys = store.step(held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
     links = first_links
     if not mixed_keys.isEmpty():
-        wanted = spark.sparkContext.broadcast(_bit_filter(mixed_keys))
-        rows = placed.mapInArrow(_prefixes(size, percent, order, wanted), "key long, comp long, rid long, n int, bits array<long>")
-        rows = store.step(rows, "tiles")
+        tiles = store.step(prefixes("key long, comp long, rid long, n int, bits array<long>", spark.sparkContext.broadcast(_bit_filter(mixed_keys))), "tiles")
+        store.drop(some)
         store.sweep()
 
         def band(n: Column) -> Column:
             return F.floor(F.log(n) / float(BAND_POWER * np.log(100 / percent)) + 1e-9).cast("int")
 
         # A set meets partners of at least percent / 100 of its size: those of its own band and, near the edge, of the one below.
-        smaller = rows.select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"))
-        larger = rows.select("key", F.explode(F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)))).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"))
+        smaller = tiles.select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"))
+        larger = tiles.select("key", F.explode(F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)))).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"))
         ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
         pairs = smaller.join(larger, ["key", "tile"]).where((F.col("ca") != F.col("cb")) & ordered & _close_enough(percent))
         pairs = store.step(pairs.select("a", "b").distinct(), "tile-pairs")
-        store.drop(rows)
+        store.drop(tiles)
         store.sweep()
         links = store.step(_verified(pairs, full, size, percent), "tile-links").unionByName(first_links)
     root = components(links, store) if links is not first_links else first
-    grouped = member.join(root.withColumnRenamed("node", "head"), "head", "left").select("doc_id", "n", "class_size", F.coalesce("root", "head").alias("root"))
+    grouped = member.join(root.withColumnRenamed("node", "head"), "head", "left").select("rid", "doc_id", "n", "class_size", F.coalesce("root", "head").alias("root"))
     grouped = store.step(grouped, "grouped")
+    store.keep_only(grouped, made)
+    return grouped, everyone
+
+
+def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name: str = "jaccard-join") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_size (documents of an equal set).
+
+    Sets of distinct shingles of size words (all words as one where there are fewer) link when their Jaccard similarity is at
+    least percent / 100. A null or empty text has no shingles and links with nothing: its component is its own doc_id.
+    component_id is the smallest doc_id that links reach; rows of a null doc_id take part and have a null component only when all
+    they reach are null. Repeated rows link with each other. A text of any length is one set; a worker holds the hashes of one text
+    and of about a million bytes of others. An empty table gives no rows; other columns are ignored.
+    """
+    store = Scratch(documents.sparkSession, name)
+    grouped, _ = _classified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, percent, store)
     least = store.step(grouped.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    store.keep_only(grouped, least)
     return grouped.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "class_size")
 
 
 def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, name: str = "jaccard-join") -> DataFrame:
-    """The rows of documents that stand for their component (the smallest doc_id), with all columns.
+    """The rows of documents that stand for their component, with all columns: one row of each.
 
-    Rows without shingles stay. Rows of a null doc_id stay only where their component has no other rows: one of them.
+    It is the row of the smallest doc_id, of equal ones the first read; a null doc_id stands only where a component has no other.
+    Rows without shingles stay, each on its own. Columns of any name pass through unchanged. An empty table gives no rows.
     """
-    marks = near_duplicates(documents, size, percent, name).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_same"), F.max("n_shingles").alias("_n"))
-    marks = marks.withColumnRenamed("doc_id", "_id")
-    kept = documents.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = kept.where("_same = 1")
-    repeated = kept.where("_same > 1").dropDuplicates(["_id", "text"])
-    return once.unionByName(repeated).select(*documents.columns)
+    store = Scratch(documents.sparkSession, name)
+    rows = packed_rows(documents, F.col("doc_id").cast("long").alias("doc_id"))
+    grouped, written = _classified(rows, size, percent, store)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    kept = store.step(grouped.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.rid").alias("rid")), "kept")
+    return unpacked_rows(written.select("rid", "text", "row").join(kept, "rid"), documents.columns)

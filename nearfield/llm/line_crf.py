@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, held_out, slices
+from nearfield.llm.common import bounded_batches, held_out, packed_rows, slices, unpacked_rows
 
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 ENDINGS = b".!?:;\"')"
@@ -186,7 +186,11 @@ def score_quality(documents: DataFrame, model: LineField | None) -> DataFrame:
 
 
 def keep_good(documents: DataFrame, model: LineField | None, threshold: float = 0.3) -> DataFrame:
-    """The rows of documents whose score reaches the threshold, with all columns; each row is scored in place."""
+    """The rows of documents whose score reaches the threshold, with all columns; each row is scored in place.
+
+    A null or empty text is scored as one blank line; a model of None keeps every row; null ids, repeated rows, ties at the threshold
+    (kept) and columns of any name pass through; a text of any length is scored whole; an empty table gives no rows.
+    """
     bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -197,4 +201,5 @@ def keep_good(documents: DataFrame, model: LineField | None, threshold: float =
                 batch = batch.filter(pa.array([field.score(t or "")[0] >= threshold for t in batch.column("text").to_pylist()], pa.bool_()))
             yield batch
 
-    return documents.mapInArrow(run, documents.schema)
+    rows = packed_rows(documents)
+    return unpacked_rows(rows.mapInArrow(run, rows.schema), documents.columns)

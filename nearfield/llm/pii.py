@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import Scratch
+from nearfield.llm.common import Scratch, quoted
 
 #: Surrogate given names by gender and script, and surnames by script. All lists of one script have one length.
 NAMES = {
@@ -31,10 +31,13 @@ NAMES = {
     ("f", "cyrillic"): "Анна Вера Галина Дарья Ева Елена Жанна Зоя Инна Ирина Кира Лариса Лидия Мария Нина Ольга".split(),
     ("m", "cyrillic"): "Антон Борис Вадим Виктор Глеб Денис Егор Иван Игорь Кирилл Лев Марк Максим Олег Павел Юрий".split(),
     ("s", "latin"): "Abel Arndt Baum Berg Blanc Boyer Braun Bruno Campos Conti Dale Dumas Ernst Falk Ferro Gallo Gomez Grant Haas Hale Iglesias Jansen Kern Lang Leroy Lopez Marsh Moreno Noel Oliva Perez Rossi".split(),
+    ("f", "greek"): "Αγνή Άννα Βάσω Δάφνη Ελένη Ζωή Ηρώ Ιωάννα Καίτη Λένα Μαρία Νίκη Ξένια Ρένα Σοφία Χαρά".split(),
+    ("m", "greek"): "Άγγελος Βασίλης Γιάννης Δήμος Ηλίας Θάνος Κώστας Λάμπρος Μάρκος Νίκος Πάνος Πέτρος Σάββας Σπύρος Τάσος Φώτης".split(),
+    ("s", "greek"): "Βέργος Γαλανός Δούκας Ζέρβας Θωμάς Κανάρης Λάσκος Μάνος Μελάς Νέγρης Παππάς Ράλλης Ρήγας Σίμος Τζανής Φωκάς".split(),
     ("s", "cyrillic"): "Белов Волков Громов Дорин Ежов Жуков Зимин Ильин Котов Лугов Маров Носов Орлов Попов Рудин Титов".split(),
 }
 #: Titles before a name, by the gender they tell.
-TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|госпожа|г-жа", "m": "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|господин|г-н"}
+TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|госпожа|г-жа|κυρία|κα", "m": "Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|господин|г-н|κύριος|κος"}
 NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
 YEAR = r"(?:1[5-9]|20)\d\d"
 #: Dates, with or without separators and time: no phone numbers.
@@ -67,8 +70,8 @@ TYPES = {
 ENTITY = "|".join(TYPES.values())
 ROUNDS = 8
 #: Consonants and vowels of built names, and the end of a built name by its list in NAMES.
-SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
-ENDS = {("f", "latin"): "na", ("m", "latin"): "n", ("s", "latin"): "rt", ("f", "cyrillic"): "на", ("m", "cyrillic"): "н", ("s", "cyrillic"): "ров"}
+SOUNDS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αειου")}
+ENDS = {("f", "latin"): "na", ("m", "latin"): "n", ("s", "latin"): "rt", ("f", "cyrillic"): "на", ("m", "cyrillic"): "н", ("s", "cyrillic"): "ров", ("f", "greek"): "να", ("m", "greek"): "νος", ("s", "greek"): "ρης"}
 
 
 def kind_of(entity: Column) -> Column:
@@ -197,10 +200,10 @@ def surrogate(entity: Column, kind: Column, counter: Column, key: str, stream: C
     iban = F.concat(F.substr(entity, F.lit(1), F.lit(2)), _masked(F.substr(entity, F.lit(3)), stream))
     prefix = F.regexp_extract(entity, r"^(?:AKIA|gh[pousr]_|sk-|eyJ)", 0)
     token = F.concat(prefix, _masked(F.substr(entity, F.length(prefix) + 1), stream))
-    cyrillic = entity.rlike(r"\p{IsCyrillic}")
+    cyrillic, greek = entity.rlike(r"\p{IsCyrillic}"), entity.rlike(r"\p{IsGreek}")
 
     def name(sort: str, at: int) -> Column:
-        return F.when(cyrillic, _name(sort, "cyrillic", stream, at, counter)).otherwise(_name(sort, "latin", stream, at, counter))
+        return F.when(cyrillic, _name(sort, "cyrillic", stream, at, counter)).when(greek, _name(sort, "greek", stream, at, counter)).otherwise(_name(sort, "latin", stream, at, counter))
 
     country = F.coalesce(F.nullif(F.regexp_extract(entity, COUNTRY, 0), F.lit("")), F.regexp_extract(entity, "^0?", 0))
     phone = F.concat(country, _masked(F.substr(entity, F.length(country) + 1), stream))
@@ -255,19 +258,21 @@ def replace_personal_data(documents: DataFrame, key: str, name: str = "pii") ->
     """All columns of documents with entities in text replaced, and n_entities.
 
     A null text stays null with no entities; a text without entities is unchanged byte for byte; repeated rows get the same
-    surrogates; an empty table gives no rows. A column named n_entities is replaced; other columns pass through.
+    surrogates; null ids and columns of any name pass through; a text of any length is searched whole, in one row; an empty table
+    gives no rows. A column named n_entities is replaced.
     """
     store = Scratch(documents.sparkSession, name)
-    hidden = [f"_{c}" for c in ("rid", "found", "parts", "new", "names")]
-    found = F.regexp_extract_all(F.col("text"), F.lit(f"({ENTITY})"), F.lit(1))
+    others = [c for c in documents.columns if c not in ("text", "n_entities")]
+    row = F.struct(*(F.col(quoted(c)) for c in others)) if others else F.lit(None).cast("int")
     # A cheap look first: every entity has a digit, an @ or a title.
     hint = F.col("text").rlike(rf"[0-9@]|\b(?:{TITLES['f']}|{TITLES['m']})\.? |(?i:token|secret|passw|api[_-]?key|access[_-]?key)")
-    marked = documents.withColumn("_found", F.when(hint, found)).drop("n_entities")
-    rich = F.coalesce(F.size("_found") > 0, F.lit(False))
-    plain = marked.where(~rich).withColumn("n_entities", F.lit(0)).drop("_found")
-    parts = F.split(F.col("text"), ENTITY, -1)
-    held = store.step(marked.where(rich).select("*", F.monotonically_increasing_id().alias("_rid"), parts.alias("_parts")), "held")
-    met = held.select("_rid", F.posexplode("_found").alias("_at", "entity"))
+    found = F.when(hint, F.regexp_extract_all(F.col("text"), F.lit(f"({ENTITY})"), F.lit(1)))
+    # Every text is searched once: the table keeps what was found, and the pieces between for the texts that hold something.
+    searched = documents.select("text", row.alias("row"), F.monotonically_increasing_id().alias("rid"), found.alias("found"))
+    rich = F.coalesce(F.size("found") > 0, F.lit(False))
+    searched = store.step(searched.select("rid", "row", "found", rich.alias("rich"), F.when(~rich, F.col("text")).alias("text"), F.when(rich, F.split(F.col("text"), ENTITY, -1)).alias("parts")), "searched")
+    held = searched.where("rich")
+    met = held.select("rid", F.posexplode("found").alias("at", "entity"))
     surfaces = met.groupBy("entity").agg(F.count("*").alias("n")).select("entity", kind_of(F.col("entity")).alias("kind"))
     surfaces = store.step(surfaces.withColumn("items", items_of(F.col("entity"), F.col("kind"))), "surfaces")
     items = surfaces.select(F.col("entity").alias("surface"), F.col("kind").alias("type"), F.posexplode("items").alias("at", "item")).select("surface", "type", "at", "item.*")
@@ -277,18 +282,19 @@ def replace_personal_data(documents: DataFrame, key: str, name: str = "pii") ->
     spelling = _spelled(F.col("surface"), F.col("type"), F.col("new.surrogate"))
     known = store.step(parts_of.select(F.col("surface").alias("entity"), spelling.alias("surrogate"), F.when(F.col("type") == "name", F.col("new")).alias("names")), "surrogates")
     # Both sides are plain tables, so the rows of an entity that is everywhere can be split.
-    spelled = met.join(known.drop("names"), "entity").groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))).alias("_new"))
+    spelled = met.join(known.drop("names"), "entity").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
     # A part that is both a given name and a surname in one document stands for the surname.
-    named = met.join(known.where("names is not null"), "entity").select("_rid", F.explode("names").alias("x"))
-    named = named.groupBy("_rid", "x.entity").agg(F.max_by("x.surrogate", F.struct("x.kind", "x.surrogate")).alias("surrogate"))
-    named = named.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_names"))
-    whole = held.join(spelled, "_rid").join(named, "_rid", "left")
+    named = met.join(known.where("names is not null"), "entity").select("rid", F.explode("names").alias("x"))
+    named = named.groupBy("rid", "x.entity").agg(F.max_by("x.surrogate", F.struct("x.kind", "x.surrogate")).alias("surrogate"))
+    named = named.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("names"))
+    whole = held.select("rid", "row", "found", "parts").join(spelled, "rid").join(named, "rid", "left")
     alone = lambda p: F.regexp_extract_all(p, F.lit(WORD), F.lit(0))
-    renamed = lambda w: F.coalesce(_as_part(w, F.col("_names")[_part(w)]), w)
+    renamed = lambda w: F.coalesce(_as_part(w, F.col("names")[_part(w)]), w)
     between = lambda p: F.concat_ws("", F.flatten(F.zip_with(F.split(p, WORD, -1), F.concat(F.transform(alone(p), renamed), F.array(F.lit(""))), lambda g, w: F.array(g, w))))
-    more = F.aggregate("_parts", F.lit(0), lambda n, p: n + F.size(F.filter(alone(p), lambda w: F.map_contains_key("_names", _part(w)))))
-    pieces = F.when(F.col("_names").isNotNull(), F.transform("_parts", between)).otherwise(F.col("_parts"))
-    text = F.concat_ws("", F.flatten(F.zip_with(pieces, F.concat(F.col("_new.surrogate"), F.array(F.lit(""))), lambda p, s: F.array(p, s))))
-    replaced = whole.withColumn("n_entities", F.size("_found") + F.when(F.col("_names").isNotNull(), more).otherwise(0)).withColumn("text", text)
-    columns = [c for c in documents.columns if c != "n_entities"] + ["n_entities"]
-    return plain.select(*columns).unionByName(replaced.drop(*hidden).select(*columns))
+    more = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(F.filter(alone(p), lambda w: F.map_contains_key("names", _part(w)))))
+    pieces = F.when(F.col("names").isNotNull(), F.transform("parts", between)).otherwise(F.col("parts"))
+    text = F.concat_ws("", F.flatten(F.zip_with(pieces, F.concat(F.col("new.surrogate"), F.array(F.lit(""))), lambda p, s: F.array(p, s))))
+    replaced = whole.select("row", text.alias("text"), (F.size("found") + F.when(F.col("names").isNotNull(), more).otherwise(0)).alias("n_entities"))
+    every = searched.where("not rich").select("row", "text", F.lit(0).alias("n_entities")).unionByName(replaced)
+    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c != "n_entities"]
+    return every.select(*columns, "n_entities")

@@ -18,7 +18,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("same_rows")
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,3 +331,53 @@ def test_pipeline_on_the_smallest_tables(spark):
             assert {r.doc_id for r in kept.collect()} == {c for _, c in brute_components([(r.doc_id, r.text) for r in before.collect()]).values()}
     packed = corpus_pipeline.packed(spark, kept, SF)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+CLASHES = ["rid", "row", "key", "none", "_same", "_id", "_own", "_sha", "_n", "_found", "_rid", "_parts", "n_entities", "t", "b", "d0", "digit", "size", "first", "n", "bits", "stars", "counted", "comp", "root", "score", "part", "a.b", "row_key", "label"]
+
+
+def clashing(spark, docs):
+    """The documents with a column of every name that operators use inside."""
+    return docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+
+
+def test_stages_pass_rows_with_any_columns(spark):
+    texts = ["a b c d e f", "a b c d e f", "a  b c d e f", "A b c d e f", None, "", "", "other words stand here now", "call +1 (310) 555-4510 now"]
+    docs = clashing(spark, rows(spark, texts).unionByName(spark.createDataFrame([(None, "other words stand here now", None, None, None), (None, None, None, None, None), (7, "other words stand here now", "x", "y", 1)], DOCS)))
+    before = {str(r) for r in docs.collect()}
+    exact = exact_dedup.drop_exact_duplicates(docs)
+    assert exact.columns == docs.columns and {str(r) for r in exact.collect()} <= before
+    assert sorted((r.doc_id, r.text) for r in exact.collect() if r.text) == [(0, texts[0]), (3, texts[3]), (7, texts[7]), (8, texts[8])]
+    assert [r.doc_id for r in exact.collect() if not r.text] == [4]
+    near = jaccard_join.drop_near_duplicates(docs)
+    assert near.columns == docs.columns and {str(r) for r in near.collect()} <= before
+    assert sorted((r.doc_id, r.text) for r in near.collect() if r.text) == [(0, texts[0]), (7, texts[7]), (8, texts[8])]
+    assert near.where("text is null or text = ''").count() == 4
+    private = pii.replace_personal_data(docs, "k")
+    assert private.columns == [c for c in docs.columns if c != "n_entities"] + ["n_entities"] and private.count() == docs.count()
+    assert {r["_found"] for r in private.collect()} == {r["_found"] for r in docs.collect()}
+    bench = spark.createDataFrame([(1, "other words stand here now")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == 9
+    assert line_crf.keep_good(docs, None).columns == docs.columns
+    for none in (exact_dedup.drop_exact_duplicates, jaccard_join.drop_near_duplicates):
+        assert none(docs.limit(0)).count() == 0 and none(docs.limit(0)).columns == docs.columns
+
+
+def near_copies(rng, n, words, most):
+    """Copies of one text, each with up to most changed words of its own."""
+    base = [f"v{i}" for i in rng.integers(0, 10**6, words)]
+    out = []
+    for c in range(n):
+        own = list(base)
+        for i in rng.integers(0, words, rng.integers(0, most + 1)):
+            own[i] = f"x{c}-{i}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_groups_of_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = near_copies(rng, 500, 60, 5) + near_copies(rng, 80, 120, 9) + near_copies(rng, 40, 300, 20)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(rows(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
