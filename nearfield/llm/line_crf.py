@@ -8,6 +8,7 @@ exact log-likelihood. A document's score is the mean of its lines' forward-backw
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -23,7 +24,9 @@ UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(
 ENDINGS = b".!?:;\"')"
 #: Lines of one training document; documents with more are not drawn for training.
 TRAIN_LINES = 80
-NAMES = ("length", "words", "upper", "digits", "symbols", "bars", "distinct", "repeats", "word_length", "ended", "capital", "seen_before", "junk_ends", "shouts")
+NAMES = ("length", "words", "upper", "digits", "symbols", "bars", "distinct", "repeats", "word_length", "ended", "capital", "seen_before", "symbol_runs", "shouts")
+#: The same symbol three times or more on end.
+SYMBOL_RUN = re.compile(rb"([!-/:-@\[-`{-~])\1\1+")
 SCORED = "doc_id long, score double, n_lines int"
 
 
@@ -43,11 +46,11 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         symbols = n - letters - n_digit - (w - 1)
         repeats = sum(map(eq, words, words[1:]))
         first = line.lstrip()[:1]
-        junk = line.count(b"*** ") + line.count(b"$$$ ") + line.count(b"%%% ") + line.count(b"&&& ") + line.count(b"### ")
+        runs = len(SYMBOL_RUN.findall(line)) if symbols > 2 else 0
         rows.append((
             math.log1p(n) / 8, math.log1p(w) / 6, n_upper / max(1, letters), n_digit / n, symbols / n, 8 * line.count(b"|") / n,
             len(set(words)) / w, repeats / w, min(20.0, n / w) / 10, line.rstrip()[-1:] in ENDINGS, first.isupper() or first > b"\x7f",
-            line in seen, junk / w, line.count(b"!") / w,
+            line in seen, runs / w, line.count(b"!") / w,
         ))
         seen.add(line)
         sizes.append(n)
