@@ -4,7 +4,7 @@ N(h) is the number of open windows filled to level h. Each remainder of a docume
 that makes the sum of N(h)^2 smallest afterwards; full and empty windows don't count. Whole windows of a long document need no
 choice. Every input partition packs on its own, in row order; prefix sums over the partitions number the windows. When a
 partition ends, its open windows fill one another: pieces are cut from the emptiest to close the fullest, so at most one window of
-a partition isn't full.
+a partition isn't full. The same happens whenever MOST_OPEN windows are open, which bounds a task's memory at any sizes of documents.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from nearfield.llm.common import Scratch, slices
 
 PIECES = "part int, local long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long"
 ROWS = 20_000
+#: Open windows of one task.
+MOST_OPEN = 4096
 
 
 class SumOfSquares:
@@ -31,7 +33,7 @@ class SumOfSquares:
     def __init__(self, capacity: int):
         self.capacity = capacity
         self.counts = np.zeros(capacity + 1, np.int64)
-        self.levels: list[list[list]] = [[] for _ in range(capacity + 1)]  # windows at each level; a window is a list of pieces
+        self.levels: list[list[list]] = [[] for _ in range(capacity + 1)]  # the level array; a window is a list of pieces
 
     def choose(self, size: int) -> int:
         """The level, 0 for a new window, that a piece of this size goes to; of equal choices the fullest."""
@@ -58,13 +60,20 @@ class SumOfSquares:
         self.levels[level + size].append(window)
         return None
 
-    def drain(self) -> Iterator[list]:
-        """The open windows, the fullest closed with pieces cut from the emptiest. Pieces are (document, start, ids, tokens)."""
+    @property
+    def open(self) -> int:
+        return int(self.counts.sum())
+
+    def drain(self) -> list[list]:
+        """Closes the fullest open windows with pieces cut from the emptiest; at most one window stays open.
+
+        Pieces are (document, start, ids, tokens).
+        """
         rest = [(level, w) for level in range(1, self.capacity) for w in self.levels[level]]
         self.counts[:] = 0
         self.levels = [[] for _ in range(self.capacity + 1)]
-        low = 0
-        while len(rest) - low > 1:
+        low, closed = 0, []
+        while low < len(rest):
             level, window = rest.pop()
             need = self.capacity - level
             while need and low < len(rest):
@@ -78,16 +87,20 @@ class SumOfSquares:
                 need -= take
                 rest[low] = (left - take, donor)
                 low += not donor
-            yield window
-        if low < len(rest):
-            yield rest[low][1]
+            if need:
+                self.counts[self.capacity - need] = 1
+                self.levels[self.capacity - need].append(window)
+            else:
+                closed.append(window)
+        return closed
 
 
-def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, name: str = "packing") -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, name: str = "packing", most_open: int = MOST_OPEN) -> DataFrame:
     """Pieces of documents in windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its whole text and end_id; a null text is the empty one and packs as end_id alone. A null doc_id
-    stays null; rows that share a doc_id pack each; an empty table gives no rows; other columns are ignored.
+    stays null; rows that share a doc_id pack each; of equal choices the fullest level is taken; a text of any length is cut into
+    windows as it is encoded whole; an empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     store = Scratch(spark, name)
@@ -123,10 +136,15 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe
                         close([(doc, start, own[start : start + capacity], n)])
                     if cut < n and (window := packer.place(n - cut, (doc, cut, own[cut:].copy(), n))):
                         close(window)
+                    if packer.open >= most_open:
+                        for window in packer.drain():
+                            close(window)
                     if len(rows) >= ROWS:
                         yield out()
-        for window in packer.drain():
+        for window in [*packer.drain(), *(w for level in packer.levels for w in level)]:
             close(window)
+            if len(rows) >= ROWS:
+                yield out()
         if rows:
             yield out()
 
@@ -135,4 +153,4 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe
     counts = sorted(tuple(r) for r in pieces.groupBy("part").agg((F.max("local") + 1).alias("n")).collect())
     firsts = np.cumsum([0, *(n for _, n in counts)]).tolist()
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, firsts, strict=False)], "part int, base long")
-    return pieces.join(F.broadcast(bases), "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
+    return pieces.join(bases, "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
