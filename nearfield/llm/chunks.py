@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 
 from nearfield.llm.common import gather
 
-#: Chunks kept in memory by one Python worker; the older half is dropped when it is full.
-CACHE_CHUNKS = 400_000
+#: Chunks kept in memory by one Python worker, and the longest one kept; the older half is dropped when it is full.
+CACHE_CHUNKS, CACHE_LENGTH = 400_000, 64
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*\Z")
 #: The pre-tokenizer patterns of the two vocabulary files.
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -46,13 +46,15 @@ def as_bytes_text(piece: str) -> str:
 
 
 class HalvingCache(dict):
-    """Entries found again survive one halving; memory stays under about twice the stated number of entries."""
+    """Entries found again survive one halving; memory stays under the stated number of entries of short keys. Long ones aren't kept."""
 
     def __init__(self, make: Callable[[str], object], most: int = CACHE_CHUNKS):
         super().__init__()
         self.make, self.half, self.old = make, most // 2, {}
 
     def __missing__(self, key: str):
+        if len(key) > CACHE_LENGTH:
+            return self.make(key)
         if (value := self.old.get(key)) is None:
             value = self.make(key)
         if len(self) >= self.half:
