@@ -29,6 +29,18 @@ BLOCK_WORDS = 400_000
 FILTER_BITS = 20
 
 
+#: Seeds of one text and item that are expanded at once; a place of the text with more is a part of its own.
+SEEDS = 500_000
+
+
+def _joined(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (place in item, place in text, seeds) of one diagonal that follow each other become one."""
+    rank = np.lexsort((i, j - i))
+    i, j, n = i[rank], j[rank], n[rank]
+    starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + n[:-1]) | (np.diff(j - i) != 0)]) if len(i) else rank
+    return i[starts], j[starts], np.add.reduceat(n, starts) if len(i) else n
+
+
 def tiling(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in item, place in text, words), longest first, ties by place."""
     min_match = min(min_match, len(item))
@@ -38,19 +50,23 @@ def tiling(item: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int
     order = np.argsort(own, kind="stable")
     there = np.flatnonzero(np.isin(other, own))
     low, high = np.searchsorted(own[order], other[there]), np.searchsorted(own[order], other[there], side="right")
-    j = np.repeat(there, high - low)
-    i = order[np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])] if len(j) else j
-    if not len(j):
+    met = np.cumsum(high - low)
+    if not len(met):
         return []
-    diagonal = j - i
-    rank = np.lexsort((i, diagonal))
-    i, j, diagonal = i[rank], j[rank], diagonal[rank]
-    starts = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(diagonal) != 0)])
-    sizes = np.diff(np.r_[starts, len(i)]) + min_match - 1
+    # Seeds are expanded and joined to runs part by part, so that repetitive texts stay bounded; runs that meet are joined again.
+    cuts = [0, *np.searchsorted(met, np.arange(SEEDS, int(met[-1]), SEEDS)).tolist(), len(there)]
+    runs = []
+    for begin, end in zip(cuts, cuts[1:], strict=False):
+        span = (high - low)[begin:end]
+        j = np.repeat(there[begin:end], span)
+        i = order[np.repeat(low[begin:end] - (np.cumsum(span) - span), span) + np.arange(span.sum())]
+        runs.append(_joined(i, j, np.ones(len(i), np.int64)))
+    i, j, n = _joined(*(np.concatenate(c) for c in zip(*runs, strict=True)))
+    starts, sizes = np.arange(len(i)), n + min_match - 1
     heap = [(-n, a, b) for n, a, b in zip(sizes.tolist(), i[starts].tolist(), j[starts].tolist(), strict=True)]
     heapq.heapify(heap)
     used_i, used_j, tiles = np.zeros(len(item), bool), np.zeros(len(text), bool), []
-    while heap:
+    while heap and not used_i.all():
         n, a, b = heapq.heappop(heap)
         n = -n
         free = ~(used_i[a : a + n] | used_j[b : b + n])
@@ -100,14 +116,22 @@ class Block:
             pairs = np.unique(np.stack([text.astype(np.uint64), hashes[at]], 1), axis=0)
             text, seed = pairs[:, 0].astype(np.int64), pairs[:, 1]
             low, high = np.searchsorted(keys, seed), np.searchsorted(keys, seed, side="right")
-            span = high - low
-            slot = np.repeat(low - (np.cumsum(span) - span), span) + np.arange(span.sum())
-            rows = np.stack([np.repeat(text, span), item[slot], place[slot]], 1)
-            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-            cut = np.flatnonzero(np.r_[True, (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)])
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
-                yield int(rows[a, 0]), int(rows[a, 1]), rows[a:b, 2]
-
+            met = np.cumsum(high - low)
+            # Texts are handled in groups, so that seeds of many items stay bounded.
+            ahead = np.flatnonzero(np.r_[True, np.diff(text) != 0])
+            begin = 0
+            while begin < len(text):
+                done = int(met[begin - 1]) if begin else 0
+                later = ahead[(ahead > begin) & (met[ahead - 1] - done >= SEEDS)]
+                end = int(later[0]) if len(later) else len(text)
+                span = (high - low)[begin:end]
+                slot = np.repeat(low[begin:end] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+                rows = np.stack([np.repeat(text[begin:end], span), item[slot], place[slot]], 1)
+                rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+                cut = np.flatnonzero(np.r_[True, (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)])
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+                    yield int(rows[a, 0]), int(rows[a, 1]), rows[a:b, 2]
+                begin = end
 
     def covered(self, column: pa.Array, min_match: int, threshold: float) -> Iterator[tuple[int, int, float, list]]:
         """(text, item, share, tiles) wherever tiles cover at least the threshold of an item."""
