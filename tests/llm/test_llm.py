@@ -166,10 +166,153 @@ def test_packing_keeps_every_id(spark, library):
 
 def test_sum_of_squares_choice():
     p = packing.SumOfSquares(10)
-    assert p.place(6, "a") is None and p.choose(6) == 0
+    assert p.place(6, "a") is None and p.choose(6) == 0 and p.open == 1
     assert p.place(4, "b") == ["a", "b"]  # closing lowers the sum
 
 
+def test_packing_of_equal_sizes_is_bounded(spark):
+    packer, closed = packing.SumOfSquares(1024), []
+    for i in range(5000):
+        window = packer.place(600, (i, 0, np.full(600, i, "<u4"), 600))
+        closed += [window] if window else []
+        if packer.open >= 100:
+            closed += packer.drain()
+        assert packer.open <= 100
+    closed += packer.drain()
+    assert packer.open <= 1
+    pieces = [p for w in closed for p in w] + [p for level in packer.levels for w in level for p in w]
+    assert all(sum(len(p[2]) for p in w) == 1024 for w in closed)
+    held = defaultdict(list)
+    for doc, start, ids, _ in pieces:
+        held[doc].append((start, len(ids)))
+    for own in held.values():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at == 600
+    got = packing.pack(rows(spark, ["word " * 50] * 200), capacity=128, most_open=5).collect()
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
+def test_choice_equals_trying_every_level():
+    rng = np.random.default_rng(3)
+    packer = packing.SumOfSquares(40)
+    for _ in range(2000):
+        size = int(rng.integers(1, 40))
+        counts = packer.counts.copy()
+
+        def after(level):
+            new = counts.copy()
+            if level:
+                new[level] -= 1
+            if level + size < 40:
+                new[level + size] += 1
+            return int((new[1:] ** 2).sum())
+
+        allowed = [level for level in range(41 - size) if not level or counts[level]]
+        assert after(packer.choose(size)) == min(map(after, allowed))
+        packer.place(size, (0, 0, np.zeros(size, "<u4"), size))
+
+
+def brute_tiling(item, text, least):
+    """Greedy string tiling by its definition: the longest unmarked common run again and again, of equal ones the first."""
+    least = min(least, len(item))
+    marked_i, marked_t, tiles = set(), set(), []
+    while least:
+        best = None
+        for a in range(len(item)):
+            for b in range(len(text)):
+                n = 0
+                while a + n < len(item) and b + n < len(text) and item[a + n] == text[b + n] and a + n not in marked_i and b + n not in marked_t:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (a, b, n)
+        if best is None:
+            break
+        a, b, n = best
+        marked_i |= set(range(a, a + n))
+        marked_t |= set(range(b, b + n))
+        tiles.append(best)
+    return tiles
+
+
+@pytest.mark.parametrize("seeds", [decontaminate.SEEDS, 7])
+def test_tiling_equals_brute_force(monkeypatch, seeds):
+    monkeypatch.setattr(decontaminate, "SEEDS", seeds)
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        kinds, least = rng.integers(2, 9), int(rng.integers(1, 5))
+        item, text = (rng.integers(0, kinds, rng.integers(0, n)).astype(np.uint64) for n in (14, 30))
+        assert decontaminate.tiling(item, text, least) == brute_tiling(item.tolist(), text.tolist(), least)
+
+
+def test_passages_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEEDS", 50)
+    rng = np.random.default_rng(1)
+    items = [(i, " ".join(rng.choice(list("abcdefgh"), rng.integers(1, 14)))) for i in range(12)]
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 60))) for _ in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.coverage, 9) for r in decontaminate.benchmark_passages(rows(spark, texts), bench).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in items:
+            own = item.split()
+            share = sum(n for _, _, n in brute_tiling(own, text.split(), 4)) / len(own)
+            if share >= 0.5:
+                want[d, i] = round(share, 9)
+    assert got == want
+    assert {r.doc_id for r in decontaminate.drop_contaminated(rows(spark, texts), bench).collect()} == set(range(60)) - {d for d, _ in want}
+
+
+def test_nearest_centroid_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    model = langid.fit_centroids(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = {r.doc_id: r for r in langid.identify_languages(docs, model).collect()}
+    for r in docs.collect():
+        raw = (r.text or "").lower().encode()
+        kept = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in raw)
+        cells = Counter()
+        for n in langid.ORDERS:
+            for i in range(len(kept) - n + 1):
+                gram = kept[i : i + n]
+                if gram.strip():
+                    code = n
+                    for b in gram:
+                        code = (code * 1_000_003 + b) % (1 << 64)
+                    cells[code * 0x9E3779B97F4A7C15 % (1 << 64) >> 52] += 1
+        vector = np.zeros(langid.CELLS)
+        for c, n in cells.items():
+            vector[c] = np.log1p(n) * model.weights[c]
+        cosine = model.centres @ (vector / max(np.linalg.norm(vector), 1e-9))
+        if langid.has_letter(r.text):
+            assert np.isclose(got[r.doc_id].score, min(1, cosine.max()), atol=1e-4)
+            assert cosine[model.owner == model.languages.index(got[r.doc_id].lang_pred)].max() >= cosine.max() - 1e-4
+
+
+UNBROKEN = 5_000_000
+
+
+def test_very_long_unbroken_texts(spark):
+    docs = rows(spark, ["ab" * (UNBROKEN // 2), "日本" * (UNBROKEN // 6), "short one"])
+    assert jaccard_join.near_duplicates(docs).count() == 3 and exact_dedup.exact_duplicates(docs).where("kept").count() == 3
+    machine = toxicity.InsultMachine(*(lambda m: (m.keys, m.right @ np.ones(1)))(toxicity.Landmarks(["idiot"])), 0.0, np.ones(toxicity.TOP + 1), 0.0)
+    assert toxicity.score_toxicity(docs, machine).count() == 3
+    bench = spark.createDataFrame([(1, "short one")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.benchmark_passages(docs, bench).collect()] == [2]
+    assert line_crf.score_quality(docs, None).count() == 3
+    assert pii.replace_personal_data(docs, "k").where("n_entities > 0").count() == 0
+
+
+def test_empty_tables(spark):
+    none = rows(spark, ["x"]).limit(0)
+    files = token_files.write_token_files(none, Scratch(spark, "t").folder("none"))
+    machine = toxicity.NOTHING
+    model = langid.fit_centroids(none)
+    for made in (token_files.read_token_files(spark, files), exact_dedup.exact_duplicates(none), pii.replace_personal_data(none, "k"), line_crf.score_quality(none, None), toxicity.score_toxicity(none, machine), packing.pack(none), bpe_count.count_tokens(none), jaccard_join.near_duplicates(none), langid.identify_languages(none, model)):
+        assert made.count() == 0
+
+
 def test_counts(spark, library):
     got = bpe_count.count_tokens(hard(spark), limit=5).collect()
     assert Counter((r.doc_id, r.n_tokens, r.over_limit) for r in got) == Counter((r.doc_id, n := len(library[WORD].encode(r.text or "", add_special_tokens=False).ids), n > 5) for r in hard(spark).collect())
@@ -294,17 +437,58 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(hard(spark), machine).count() == hard(spark).count()
 
 
-def test_kernel_table_equals_the_definition():
-    letters = toxicity.Alphabet("abcdefg")
-    table = np.random.default_rng(1).normal(size=letters.size**3)
-    machine = toxicity.InsultMachine(letters.characters, table, 0.25, 1.0, 0.0)
-    for word in ("abc", "gabfzcd", "aabbccddeeffgg"):
-        cells, weights = toxicity.triples(letters.codes(word), letters.size)
-        known = {int(c) for c in cells}
-        assert known
-        zero = toxicity.InsultMachine(letters.characters, np.where(np.isin(np.arange(len(table)), list(known)), table, 0), 0.25, 1.0, 0.0)
-        want = (weights * table[cells]).sum() / toxicity.norm(np.array([len(word)]))[0] + 0.25
-        assert np.isclose(zero.unit_values(["ab", word])[1], want)
+def brute_kernel(u, v):
+    """By the definition: every choice of three places in each, weighted by decay ** span, normalised."""
+
+    def profile(w):
+        out = Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
+                    out[w[i], w[j], w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    a, b = profile(u), profile(v)
+    dot = lambda x, y: sum(n * y[c] for c, n in x.items())
+    return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 if a and b else 0.0
+
+
+KERNEL_WORDS = ["abc", "gabfzcd", "aabbccddeeffgg", "ererererer", "ab", "été", "идиот", "иди-от", "x" * 40, "日本語日本語"]
+
+
+def test_kernel_equals_enumeration():
+    points = ["abcd", "erere", "идиот", "日本語", "xxxx"]
+    got = toxicity.Landmarks(points).kernel(KERNEL_WORDS)
+    assert np.allclose(got, [[brute_kernel(u, p) for p in points] for u in KERNEL_WORDS])
+
+
+def test_worst_units_equal_a_scan_of_all():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 12))) for _ in range(300)]
+    words = list(dict.fromkeys(words))
+    space = toxicity.Landmarks(["abcde", "edcba", "ééaa"])
+    weights = np.array([1.0, -0.7, 0.4])
+    machine = toxicity.InsultMachine(space.keys, space.right @ weights, -0.2, np.ones(toxicity.TOP + 1), 0.0)
+    want = np.array([max(0.0, sum(w * brute_kernel(u, p) for w, p in zip(weights, space.points, strict=True))) - 0.2 for u in words])
+    assert np.allclose(machine.unit_values(words), want)
+    documents = [rng.choice(len(words), n, replace=False) for n in (0, 1, 2, 3, 40, 200)]
+    evidence, unit = machine.worst(documents, words)
+    for d, row, u in zip(documents, evidence, unit, strict=True):
+        best = sorted([*want[d], *[-0.2] * toxicity.TOP], reverse=True)[: toxicity.TOP]
+        assert np.allclose(row, [*best, np.log1p(len(d))]) and (u < 0 or np.isclose(want[u], best[0]))
+
+
+def test_units_of_unbroken_text_overlap():
+    text = "".join(chr(0x4E00 + i % 97) for i in range(1000))
+    own = toxicity.units(text)
+    assert max(map(len, own)) <= toxicity.LONGEST and all(any(text[i : i + 12] in u for u in own) for i in range(0, 988, 7))
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).join(labels, "doc_id")
+    rows = found.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).select("toxic", "score").collect()
+    assert sum(r.score >= 0.5 for r in rows if r.toxic == 0) == 0 and sum(r.score >= 0.5 for r in rows if r.toxic == 1) >= 3
 
 
 def test_languages(spark):
