@@ -25,11 +25,10 @@ def hyperplane_bounds(tuple_: Column, bits: int) -> Column:
     return F.array(*[F.abs(tuple_[2 * i] - tuple_[2 * i + 1]) / 2 for i in range(bits)])
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def hamming_words(a: Column, b: Column) -> Column:
+def hamming(a: Column, b: Column, bits: int = WORD) -> Column:
+    """Bits that differ; sketches of more than WORD bits are arrays of words."""
+    if bits <= WORD:
+        return F.bit_count(a.bitwiseXOR(b))
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 

@@ -18,9 +18,12 @@ def sample_order(seed: str, id: str) -> list[Column]:
     return [F.md5(F.concat(F.lit(seed), F.col(id).cast("string"))), F.col(id)]
 
 
-def random_pivots(objects: DataFrame, n: int, id: str = "id", seed: str = "pivot:") -> DataFrame:
-    """n rows without replacement."""
-    return objects.orderBy(*sample_order(seed, id)).limit(n)
+def random_pivots(objects: DataFrame, n: int, id: str = "id", seed: str = "pivot:", among: DataFrame | None = None, exclude: list[int] | None = None) -> DataFrame:
+    """n rows without replacement; of the ids in among, where given, and without those of exclude."""
+    rows = objects.join(among.select(id).distinct(), id, "left_semi") if among is not None else objects
+    if exclude:
+        rows = rows.where(~F.col(id).isin(list(map(int, exclude))))
+    return rows.orderBy(*sample_order(seed, id)).limit(n)
 
 
 def first_pivots(objects: DataFrame, n: int, id: str = "id") -> DataFrame:
@@ -51,14 +54,27 @@ def with_pivot_distances(objects: DataFrame, pivots: np.ndarray, distance: str =
     return kept.mapInArrow(run, kept.select("*", F.lit(None).cast("array<double>").alias(name)).schema)
 
 
-def sparse_spatial(x: np.ndarray, n: int, alpha: float = 0.5, kind: str = "l1") -> list[int]:
-    """Rows at least mean - alpha * std of the sample's distances apart, in row order; the sample ends the search."""
+def sparse_spatial(x: np.ndarray, n: int, alpha: float = 0.0, kind: str = "l1", histogram: int = 100) -> list[int]:
+    """Rows at least mean + alpha * std apart, in row order.
+
+    The moments start with all pairs of the first histogram rows and take in every distance that a candidate is compared by, as
+    the choice goes on. Each row is a candidate once, so fewer than n rows may come back.
+    """
     d = distances_between(x, x, kind)
-    pairs = d[np.triu_indices(len(x), 1)]
-    limit = pairs.mean() - alpha * pairs.std(ddof=1) if len(pairs) > 1 else 0.0
+    first = d[:histogram, :histogram]
+    known = first[~np.eye(len(first), dtype=bool)]
+    count, total, squares = known.size, float(known.sum()), float((known * known).sum())
     chosen: list[int] = []
     for i in range(len(x)):
-        if len(chosen) < n and all(d[i, j] >= limit for j in chosen):
+        if len(chosen) == n:
+            break
+        for j in chosen:
+            own = float(d[i, j])
+            count, total, squares = count + 1, total + own, squares + own * own
+            spread = max(0.0, squares - total * total / count) / max(1, count - 1)
+            if own < total / count + alpha * spread**0.5:
+                break
+        else:
             chosen.append(i)
     return chosen
 
@@ -143,45 +159,89 @@ def permutation_pivots(x: np.ndarray, n: int, candidates: int = 50, pairs: int =
     return chosen
 
 
-def _bit_stats(d: np.ndarray, a: int, b: int) -> tuple[float, float, float]:
-    """Spread (share of the rarer side, doubled), distortion (share of pairs the bit parts although they are near), mean bound."""
-    side = d[a] > d[b]
-    share = side.mean()
-    near = d <= np.median(d)
-    return 2 * min(share, 1 - share), float((near & (side[:, None] != side[None])).sum() / max(1, near.sum())), float(np.abs(d[a] - d[b]).mean() / 2)
+def _parted(d: np.ndarray, a: np.ndarray, b: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of pivots (a, b): the side of every row, the distinct sketches once the pair's bit joins groups, and distortion.
+
+    A row's bit is set where it is at least as near to a as to b. Distortion is the difference of the two sides' sizes as a share.
+    """
+    side = d[a] <= d[b]
+    member = groups[:, None] == np.unique(groups)[None]
+    inside = side.astype(np.float32) @ member.astype(np.float32)
+    distinct = (inside > 0).sum(1) + (inside < member.sum(0)).sum(1)
+    return side, distinct, np.abs(2 * side.sum(1) - d.shape[1]) / d.shape[1]
+
+
+def _joined(groups: np.ndarray, side: np.ndarray) -> np.ndarray:
+    return np.unique(2 * groups + side, return_inverse=True)[1]
+
 
+def random_pairs(x: np.ndarray, n: int, method: str = "spread", tries: int = 4000, kind: str = "l1", seed: int = 0, spread: float = 0.5, distortion: float = 0.10) -> list[tuple[int, int]]:
+    """Pivot pairs from random trials over the rows of a sample; each row is in one pair at most.
 
-def random_pairs(x: np.ndarray, n: int, method: str = "spread", tries: int = 400, kind: str = "l1", seed: int = 0) -> list[tuple[int, int]]:
-    """Pivot pairs from random trials: 'spread' wants spread >= 0.5 and distortion <= 0.5 where such pairs turn up, and orders by
-    spread, distortion and bound; 'distortion' orders by distortion, then bound. The number of trials is bounded."""
+    spread of a pair: distinct sketches of all pairs so far and this one, as a share of min(2 ** pairs, rows). 'spread' asks for at
+    least spread and at most distortion, and prefers more spread, less distortion, more mean distance to the hyperplane;
+    'distortion' prefers less distortion, then more mean distance. Where none of the tries is valid the best of them is taken.
+    """
     rng = np.random.default_rng(seed)
     d, used, out = distances_between(x, x, kind), set(), []
-    for _ in range(n):
-        found = []
-        for _ in range(tries):
-            a, b = sorted(rng.choice(len(x), 2, replace=False).tolist())
-            if a not in used and b not in used:
-                s, t, m = _bit_stats(d, a, b)
-                found.append(((0 if s >= 0.5 and t <= 0.5 else 1, -s, t, -m) if method == "spread" else (t, -m), a, b))
-        if not found:
+    groups = np.zeros(len(x), np.int64)
+    for step in range(1, n + 1):
+        rest = np.setdiff1d(np.arange(len(x)), sorted(used))
+        if len(rest) < 2:
             break
-        _, a, b = min(found)
-        used |= {a, b}
-        out.append((a, b))
+        a = rng.integers(len(rest), size=tries)
+        b = (a + 1 + rng.integers(len(rest) - 1, size=tries)) % len(rest)
+        a, b = rest[a], rest[b]
+        best = None
+        for low in range(0, tries, 1000):
+            p, q = a[low : low + 1000], b[low : low + 1000]
+            side, distinct, apart = _parted(d, p, q, groups)
+            share = distinct / min(2.0**step, len(x))
+            bound = np.abs(d[p] - d[q]).mean(1) / 2
+            valid = (share >= spread) & (apart <= distortion)
+            keys = zip(~valid, -share, apart, -bound, strict=True) if method == "spread" else zip(apart, -bound, strict=True)
+            found = min((tuple(map(float, k)), low + i) for i, k in enumerate(keys))
+            if best is None or found < best[0]:
+                best = found, side[found[1] - low]
+        at = best[0][1]
+        groups = _joined(groups, best[1])
+        used |= {int(a[at]), int(b[at])}
+        out.append((int(a[at]), int(b[at])))
     return out
 
 
 def exhaustive_pairs(x: np.ndarray, n: int, kind: str = "l1", spread_weight: float = 10.0) -> list[tuple[int, int]]:
-    """All pairs of the sample, by (1 - normalised distance) + spread_weight * spread; of equal ones the later; rows once."""
+    """Of all pairs of the sample, round by round, the one of the largest (1 - normalised distance) + spread_weight * spread.
+
+    spread counts the distinct sketches of the pairs so far and this one, as in random_pairs; of equal pairs the later one in order
+    of rows is taken; rows of a pair leave the later rounds.
+    """
     d = distances_between(x, x, kind)
-    a, b = np.triu_indices(len(x), 1)
-    closer = (d[a] > d[b]).mean(1)
-    value = 1 - d[a, b] / max(d.max(), 1e-12) + spread_weight * 2 * np.minimum(closer, 1 - closer)
-    used, out = set(), []
-    for i in np.lexsort((-np.arange(len(a)), -value)):
-        if len(out) == n:
-            break
-        if a[i] not in used and b[i] not in used:
-            used |= {int(a[i]), int(b[i])}
-            out.append((int(a[i]), int(b[i])))
+    left = np.ones(len(x), bool)
+    groups, out = np.zeros(len(x), np.int64), []
+    while len(out) < n and left.sum() >= 2:
+        rows = np.flatnonzero(left)
+        a, b = (rows[i] for i in np.triu_indices(len(rows), 1))
+        best, side = (-np.inf, -1), None
+        for low in range(0, len(a), 20_000):
+            p, q = a[low : low + 20_000], b[low : low + 20_000]
+            own, distinct, _ = _parted(d, p, q, groups)
+            value = 1 - d[p, q] / max(d.max(), 1e-12) + spread_weight * (distinct / min(2.0 ** (len(out) + 1), len(x)))
+            at = len(value) - 1 - int(value[::-1].argmax())
+            if value[at] >= best[0]:
+                best, side = (value[at], low + at), own[at]
+        i, j = int(a[best[1]]), int(b[best[1]])
+        groups = _joined(groups, side)
+        left[[i, j]] = False
+        out.append((i, j))
     return out
+
+
+def separated(x: np.ndarray, n: int, least: float, kind: str = "l1") -> list[int]:
+    """Up to n rows in row order, all more than least apart."""
+    d = distances_between(x, x, kind)
+    chosen: list[int] = []
+    for i in range(len(x)):
+        if len(chosen) < n and all(d[i, j] > least for j in chosen):
+            chosen.append(i)
+    return chosen

@@ -12,12 +12,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions.distances import DISTANCES
+from nearfield.operators.counters import Counters
 from nearfield.operators.filters import Filter
+from nearfield.sources.stores import settled
 
 #: Queries sent to the executors at once.
 BLOCK = 4096
@@ -63,19 +66,23 @@ def ranked(hits: DataFrame, k: int | None, largest: bool = False) -> DataFrame:
     return out.where(F.col("rank") <= k) if k is not None else out
 
 
-def vector_hits(objects: DataFrame, queries: DataFrame, distance: str = "l1", k: int | None = None, radius: float | None = None, id: str = "id", vector: str = "v", skip_equal: bool = False, largest: bool = False) -> DataFrame:
-    """Unranked hits of the array kernel; at most k of each query and batch, within the radius. Null vectors never match."""
+def vector_hits(objects: DataFrame, queries: DataFrame, distance: str = "l1", k: int | None = None, radius: float | str | None = None, id: str = "id", vector: str = "v", skip_equal: bool = False, largest: bool = False) -> DataFrame:
+    """Unranked hits of the array kernel; at most k of each query and batch, within the radius. Null vectors never match.
+
+    A radius is one number or the name of a column of queries.
+    """
     kind = DISTANCES[distance].kernel
     if kind is None:
         raise ValueError(f"{distance} has no array kernel")
     rows = objects.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"))
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("qid"), F.col(vector).alias("v"))
+    within = F.col(radius) if isinstance(radius, str) else F.lit(float("inf") if radius is None else float(radius))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("qid"), F.col(vector).alias("v"), within.cast("double").alias("r"))
 
     def meet(block: list[tuple]) -> DataFrame:
-        sent = objects.sparkSession.sparkContext.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], float)))
+        sent = objects.sparkSession.sparkContext.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], float), np.array([b[2] for b in block], float)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q_all = sent.value
+            ids, q_all, reach = sent.value
             for batch in batches:
                 for start in range(0, len(batch), OBJECTS_AT_ONCE):
                     part = batch.slice(start, OBJECTS_AT_ONCE)
@@ -83,7 +90,7 @@ def vector_hits(objects: DataFrame, queries: DataFrame, distance: str = "l1", k:
                     for low in range(0, len(ids), QUERIES_AT_ONCE):
                         q, qid = q_all[low : low + QUERIES_AT_ONCE], ids[low : low + QUERIES_AT_ONCE]
                         d = distances_between(q, o, kind)
-                        keep = np.ones(d.shape, bool) if radius is None else d <= radius
+                        keep = d <= reach[low : low + QUERIES_AT_ONCE, None]
                         if skip_equal:
                             keep &= d > 0
                         if k is not None and k < len(own):
@@ -98,11 +105,18 @@ def vector_hits(objects: DataFrame, queries: DataFrame, distance: str = "l1", k:
 
         return rows.mapInArrow(run, HITS)
 
-    found = [meet(b) for b in blocks_of(asked, ["qid", "v"])]
+    found = [meet(b) for b in blocks_of(asked, ["qid", "v", "r"])]
     return reduce(DataFrame.unionByName, found) if found else objects.sparkSession.createDataFrame([], HITS)
 
 
-def vector_search(objects: DataFrame, queries: DataFrame, distance: str = "l1", k: int | None = None, radius: float | None = None, **names) -> DataFrame:
+def refined(objects: DataFrame, queries: DataFrame, first: DataFrame, k: int, distance: str = "l1", skip_equal: bool = False) -> DataFrame:
+    """Exact top k after an approximate first pass: its k-th distance is the radius of one scan of all objects."""
+    near = first.groupBy("qid").agg(F.max("distance").alias("reach"), F.count("*").alias("n")).where(F.col("n") >= k)
+    known = queries.select("id", "v").join(near, F.col("id") == F.col("qid"), "left").select("id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    return vector_search(objects, known, distance, k, "reach", skip_equal=skip_equal)
+
+
+def vector_search(objects: DataFrame, queries: DataFrame, distance: str = "l1", k: int | None = None, radius: float | str | None = None, **names) -> DataFrame:
     """Top k within a radius by the array kernel."""
     return ranked(vector_hits(objects, queries, distance, k, radius, **names), k, names.get("largest", False))
 
@@ -144,8 +158,22 @@ def full_match(objects: DataFrame, queries: DataFrame, distance: str = "l1", id:
     """All distances of each query in ascending order: (qid, rank, distance); with filter_same, equal objects move to the end."""
     hits = vector_hits(objects, queries, distance, id=id, vector=vector)
     value = F.when(F.col("distance") == 0, F.lit(largest)).otherwise(F.col("distance")) if filter_same else F.col("distance")
-    order = Window.partitionBy("qid").orderBy("distance", "id")
-    return hits.withColumn("distance", value).withColumn("rank", F.row_number().over(order)).select("qid", "rank", "distance")
+    return ranked_all(hits.withColumn("distance", value)).select("qid", "rank", "distance")
+
+
+def ranked_all(hits: DataFrame) -> DataFrame:
+    """All hits with their rank in (distance, id) for each query, without one task for a whole query.
+
+    The hits are dealt into ranges of (qid, distance, id) and written; a rank is the place inside the range and query plus the
+    number of the query's hits in earlier ranges.
+    """
+    dealt = settled(hits.repartitionByRange("qid", "distance", "id").withColumn("part", F.spark_partition_id()), "ranked")
+    inside = dealt.withColumn("at", F.row_number().over(Window.partitionBy("part", "qid").orderBy("distance", "id")))
+    earlier = F.sum("n").over(Window.partitionBy("qid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = dealt.groupBy("qid", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(earlier, F.lit(0)))
+    # One row for each query and range that holds hits of it.
+    placed = inside.join(before.select("qid", "part", "before"), ["qid", "part"])
+    return placed.withColumn("rank", (F.col("before") + F.col("at")).cast("int")).drop("part", "at", "before")
 
 
 def knn_graph(objects: DataFrame, k: int, radius: float | None = None, distance: str = "l1", id: str = "id", vector: str = "v") -> DataFrame:
@@ -166,7 +194,7 @@ def single_query_pivot_range(objects: DataFrame, pivots: dict[str, float], radiu
     return objects.where(reduce(Column.__and__, tests))
 
 
-def nearest_by_projection(objects: DataFrame, queries: DataFrame, buckets: DataFrame, projected: Column, reads: int, k: int, distance: str = "l1", radius: float | None = None, id: str = "id", vector: str = "v", skip_equal: bool = False) -> DataFrame:
+def nearest_by_projection(objects: DataFrame, queries: DataFrame, buckets: DataFrame, projected: Column, reads: int, k: int, distance: str = "l1", radius: float | None = None, id: str = "id", vector: str = "v", skip_equal: bool = False, counters: Counters | None = None) -> DataFrame:
     """Approximate search: objects of the `reads` buckets nearest to the query's projection, by true distance.
 
     objects and queries have the columns bucket and vector; buckets holds the distinct ones. projected is the distance of q_bucket
@@ -174,7 +202,12 @@ def nearest_by_projection(objects: DataFrame, queries: DataFrame, buckets: DataF
     """
     near = candidate_buckets(queries.select(F.col(id).alias("qid"), F.col("bucket").alias("q_bucket")), buckets, projected, reads)
     asked = queries.select(F.col(id).alias("qid"), F.col(vector).alias("q_v"))
+    if counters is not None:
+        near = counters.watch(near, buckets_read=F.lit(1))
+        asked = counters.watch(asked, queries=F.lit(1), pivot_vectors=F.lit(1))
     picked = objects.select(F.col(id).alias("id"), F.col(vector).alias("v"), "bucket").join(near, "bucket").join(asked, "qid")
+    if counters is not None:
+        picked = counters.watch(picked, distances=F.lit(1))
     pairs = picked.select("qid", "id", DISTANCES[distance].of(F.col("q_v"), F.col("v")).alias("distance"))
     if radius is not None or skip_equal:
         pairs = pairs.select("qid", "id", F.explode(F.array("distance")).alias("distance"))  # computes it once
@@ -197,17 +230,80 @@ def edit_distance_join(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     return left.join(right, "n").where(F.col("a") < F.col("b")).select("a", "b", d).where("distance >= 0")
 
 
+#: Queries of one table of term counts, and words of the queries that are sent at once.
+TERM_QUERIES, TERM_WORDS = 64, 4_000_000
+
+
+class TermCounts:
+    """Counts of the terms of some queries: a row for each term, a column for each query."""
+
+    def __init__(self, queries: list[tuple[int, str]]):
+        self.ids = np.array([q for q, _ in queries], np.int64)
+        split = [t.split(" ") for _, t in queries]
+        self.totals = np.array([len(t) for t in split], np.int64)
+        self.rows = {t: i for i, t in enumerate(dict.fromkeys(t for own in split for t in own))}
+        self.counts = np.zeros((len(self.rows), len(queries)), np.int32)
+        for c, own in enumerate(split):
+            np.add.at(self.counts[:, c], [self.rows[t] for t in own], 1)
+
+    def shared(self, terms: np.ndarray, documents: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """For each document and query the sum over terms of the smaller count; the triples ascend by document."""
+        out = np.zeros((n, len(self.ids)), np.int64)
+        for low in range(0, len(terms), 20_000):
+            part = slice(low, low + 20_000)
+            least = np.minimum(self.counts[terms[part]], times[part, None])
+            starts = np.flatnonzero(np.r_[True, np.diff(documents[part]) != 0])
+            np.add.at(out, documents[part][starts], np.add.reduceat(least, starts, axis=0))
+        return out
+
+
 def term_l1_search(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top k by L1 of term counts: both totals less twice the shared counts; terms meet by an equi-join.
+    """Top k by L1 of term counts: both totals less twice the shared counts, in one scan of the documents for each block of queries.
 
-    Both sides have (id, text); terms stand between single spaces.
+    Both sides have (id, text); terms stand between single spaces; null texts match nothing. Every task counts a document's terms
+    once and meets them with tables of the queries' counts; k rows of each batch and query go on to the ranking.
     """
-    def counts(rows: DataFrame) -> DataFrame:
-        return rows.select("id", F.explode(F.split("text", " ")).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-
-    asked = counts(queries).select(F.col("id").alias("qid"), "term", F.col("n").alias("qn"))
-    shared = counts(documents).join(asked, "term").groupBy("qid", "id").agg(F.sum(F.least("n", "qn")).alias("both"))
-    size = F.size(F.split("text", " ")).cast("long")
-    totals = documents.select("id", size.alias("total")).join(F.broadcast(queries.select(F.col("id").alias("qid"), size.alias("q_total"))), F.lit(True))
-    d = F.col("total") + F.col("q_total") - 2 * F.coalesce("both", F.lit(0))
-    return ranked(totals.join(shared, ["qid", "id"], "left").select("qid", "id", d.alias("distance")), k)
+    rows = documents.where("text is not null").select(F.col("id").cast("long").alias("id"), "text")
+    asked = queries.where("text is not null").select(F.col("id").cast("long").alias("qid"), "text")
+
+    def blocks() -> Iterator[list[tuple[int, str]]]:
+        block, words = [], 0
+        for row in asked.toLocalIterator():
+            block.append(tuple(row))
+            words += row[1].count(" ") + 1
+            if len(block) == BLOCK or words >= TERM_WORDS:
+                yield block
+                block, words = [], 0
+        if block:
+            yield block
+
+    def meet(block: list[tuple[int, str]]) -> DataFrame:
+        sent = documents.sparkSession.sparkContext.broadcast(block)  # at most TERM_WORDS words, or one query
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = [TermCounts(sent.value[i : i + TERM_QUERIES]) for i in range(0, len(sent.value), TERM_QUERIES)]
+            for batch in batches:
+                for start in range(0, len(batch), 500):
+                    part = batch.slice(start, 500)
+                    own = np.asarray(part.column("id"))
+                    lists = pc.split_pattern(part.column("text"), " ")
+                    sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+                    coded = pc.list_flatten(lists).dictionary_encode()
+                    names = coded.dictionary.to_pylist()
+                    width = max(1, len(names))
+                    pairs, times = np.unique(np.repeat(np.arange(len(own)), sizes) * width + np.asarray(coded.indices), return_counts=True)
+                    document, term = pairs // width, pairs % width
+                    for table in tables:
+                        place = np.array([table.rows.get(t, -1) for t in names], np.int64)[term]
+                        known = place >= 0
+                        met = table.shared(place[known], document[known], times[known], len(own))
+                        d = (table.totals[:, None] + sizes[None] - 2 * met.T).astype(np.int64)
+                        order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
+                        i = np.repeat(np.arange(len(d)), order.shape[1])
+                        j = order.ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(table.ids[i]), pa.array(own[j]), pa.array(d[i, j])], ["qid", "id", "distance"])
+
+        return rows.mapInArrow(run, "qid long, id long, distance long")
+
+    found = [meet(b) for b in blocks()]
+    return ranked(reduce(DataFrame.unionByName, found), k) if found else ranked(documents.sparkSession.createDataFrame([], "qid long, id long, distance long"), k)

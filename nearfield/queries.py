@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions import projections, trees
-from nearfield.operators import filters, metrics, mutation, pivots, search, stats
+from nearfield.functions import projections, trees, values
+from nearfield.operators import aesa, filters, metrics, mutation, pivots, search, sketches, stats
 from nearfield.plans.index import bucket_order
 from nearfield.sources.stores import KeyedTable
 
@@ -208,7 +208,7 @@ def pivot_filtered_range(spark, sf_dir):
         SELECT q.id AS qid, count(*) AS n_candidates FROM k q JOIN k o ON o.p0 BETWEEN q.p0 - 10.000001 AND q.p0 + 10.000001 WHERE q.id % 100 = 0 GROUP BY q.id""")
 def secondary_pivot_range(spark, sf_dir):
     keys = _points(spark, sf_dir).select("id", "p0")
-    asked = F.broadcast(_asked(keys).select(F.col("id").alias("qid"), F.col("p0").alias("q_p0")))  # the query set, checked by search() elsewhere
+    asked = _asked(keys).select(F.col("id").alias("qid"), F.col("p0").alias("q_p0"))
     return keys.join(asked, search.pivot_bounds(["p0"], 10.0)).groupBy("qid").agg(F.count("*").alias("n_candidates"))
 
 
@@ -217,7 +217,7 @@ def secondary_pivot_range(spark, sf_dir):
 def pivot_rectangle_overlap(spark, sf_dir):
     t = _with_tuple(_vectors(spark, sf_dir), PIVOTS).select("id", "tuple")
     low, high = projections.rectangle(F.col("q_tuple"), 2.0)
-    asked = F.broadcast(_asked(t).select(F.col("id").alias("qid"), F.col("tuple").alias("q_tuple")))
+    asked = _asked(t).select(F.col("id").alias("qid"), F.col("tuple").alias("q_tuple"))
     return t.join(asked, projections.overlaps(low, high, F.col("tuple"), F.col("tuple"))).groupBy("qid").agg(F.count("*").alias("n_candidates"))
 
 
@@ -251,15 +251,60 @@ def _approximate(v: DataFrame, asked: DataFrame, k: int, reads: int, permuted: b
 
 
 @_query(f"WITH {SKETCH}, {_order_sql(HAMMING)}, {_found_sql(READS, 3)} SELECT * FROM found")
-def sketch_knn(spark, sf_dir):
+def sketch_first_pass(spark, sf_dir):
+    """The first pass of sketch_knn alone: objects of the READS nearest buckets, by true distance."""
     v = _sketched(_vectors(spark, sf_dir))
     return _hits(_approximate(v, _asked(v), 3, READS))
 
 
-@_query(f"WITH {SKETCH}, {_order_sql(HAMMING, 'true')}, {_found_sql(READS, 3, 'distance > 0')} SELECT * FROM found")
+@_query(f"WITH {PAIRS} {_top('p', 3)}")
+def sketch_knn(spark, sf_dir):
+    """Exact through the index: the first pass bounds the radius of the second, so recall is 1 at any size."""
+    v = _sketched(_vectors(spark, sf_dir))
+    return _hits(search.refined(v, _asked(v), _approximate(v, _asked(v), 3, READS), 3))
+
+
+LONG_BITS = 128
+LONG_SKETCH = f"""{_pivot_sql(2 * LONG_BITS)},
+        bits AS (SELECT a.id, a.i // 2 AS bit, a.d > b.d AS held FROM pd a JOIN pd b ON a.id = b.id AND b.i = a.i + 1 WHERE a.i % 2 = 0),
+        sk AS (SELECT id, list_value({', '.join(f'sum(CASE WHEN held AND bit // 62 = {w} THEN 1::BIGINT << (bit % 62)::INT ELSE 0 END)::BIGINT' for w in range(3))}) AS bucket FROM bits GROUP BY id)"""
+LONG_HAMMING = "list_sum(list_transform(list_zip(a.bucket, b.bucket), lambda x: bit_count(xor(x[1], x[2]))))::BIGINT"
+
+
+@_query(f"WITH {LONG_SKETCH}, {_order_sql(LONG_HAMMING)}, {_found_sql(40, 3)} SELECT * FROM found")
+def sketch_knn_128(spark, sf_dir):
+    """The first pass with sketches of three words."""
+    v = _with_tuple(_vectors(spark, sf_dir), 2 * LONG_BITS).withColumn("bucket", projections.bit_sketch(F.col("tuple"), LONG_BITS))
+    of = projections.hamming(F.col("q_bucket"), F.col("bucket"), LONG_BITS)
+    return _hits(search.nearest_by_projection(v, _asked(v), stats.bucket_sizes(v), of, 40, 3))
+
+
+@_query(f"WITH p AS (SELECT q.vec_id AS qid, o.vec_id AS id, {_l1('q.embedding', 'o.embedding')} AS distance FROM embeddings q, embeddings o) {_top('p', 3, 'distance > 0')}")
 def sketch_knn_graph(spark, sf_dir):
+    """The exact graph through the index: each object's first pass bounds its radius."""
     v = _sketched(_vectors(spark, sf_dir))
-    return _hits(_approximate(v, v, 3, READS, skip_equal=True))
+    return _hits(search.refined(v, v, _approximate(v, v, 3, READS, skip_equal=True), 3, skip_equal=True))
+
+
+@_query(f"WITH {PAIRS} {_top('p', 5)}")
+def elimination_knn(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return _hits(aesa.elimination_search(v, _asked(v), 5))
+
+
+@_query(f"WITH {PAIRS} SELECT qid, min(distance) AS nearest, count(*) AS n_objects FROM p WHERE distance > 0 GROUP BY qid")
+def elimination_nearest(spark, sf_dir):
+    """The nearest other object of each query, and how many objects there are at most to compute distances of."""
+    v = _vectors(spark, sf_dir)
+    costs = aesa.search_costs(aesa.elimination_hits(v, _asked(v), 1 << 30))
+    near = search.vector_search(v, _asked(v), "l1", 1, skip_equal=True).select("qid", F.col("distance").alias("nearest"))
+    return costs.select("qid", (F.col("computations") - 1).alias("n_objects")).join(near, "qid").select("qid", "nearest", "n_objects")
+
+
+@_query(f"WITH {SKETCH}, s AS (SELECT DISTINCT bucket AS sketch FROM sk), d AS (SELECT a.id AS qid, s.sketch, bit_count(xor(a.bucket, s.sketch))::BIGINT AS distance FROM sk a, s WHERE a.id % 100 = 0) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, sketch) AS rank FROM d")
+def sketch_set_full(spark, sf_dir):
+    v = _sketched(_vectors(spark, sf_dir))
+    return sketches.search_sketches(sketches.sketch_set(v), _asked(v).select(F.col("id").alias("qid"), F.col("bucket").alias("sketch")))
 
 
 @_query(f"WITH {PERMUTED} SELECT id, bucket FROM sk")
@@ -274,11 +319,19 @@ def footrule_rank(spark, sf_dir):
 
 
 @_query(f"WITH {PERMUTED}, {_order_sql(FOOTRULE)}, {_found_sql(READS, 3)} SELECT * FROM found")
-def permutation_knn(spark, sf_dir):
+def permutation_first_pass(spark, sf_dir):
+    """The first pass of permutation_knn alone."""
     v = _permuted(_vectors(spark, sf_dir))
     return _hits(_approximate(v, _asked(v), 3, READS, True))
 
 
+@_query(f"WITH {PAIRS} {_top('p', 3)}")
+def permutation_knn(spark, sf_dir):
+    """Exact through the index, as sketch_knn."""
+    v = _permuted(_vectors(spark, sf_dir))
+    return _hits(search.refined(v, _asked(v), _approximate(v, _asked(v), 3, READS, True), 3))
+
+
 @_query(f"WITH {SKETCH} SELECT (i * 1)::INT AS bit, count(*) FILTER ((bucket >> i::INT) & 1 = 1) AS ones, count(*) FILTER ((bucket >> i::INT) & 1 = 0) AS zeros, abs(count(*) - 2 * count(*) FILTER ((bucket >> i::INT) & 1 = 1)) AS imbalance FROM sk, range({BITS}) r(i) GROUP BY i")
 def sketch_balance(spark, sf_dir):
     return stats.sketch_balance(_sketched(_vectors(spark, sf_dir)), BITS)
@@ -339,6 +392,26 @@ def multiset_distribution(spark, sf_dir):
     return stats.multiset_distribution(_table(spark, sf_dir, "events"), "user_id")
 
 
+@_query("SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS middle FROM lineitem GROUP BY l_returnflag")
+def middle_value(spark, sf_dir):
+    return values.middle(_table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"])
+
+
+@_query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def bloom_semi_join(spark, sf_dir):
+    """Customers with orders: the filter drops most others, an exact semi join the rest."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    words = values.bloom_filter(orders, "id")
+    near = values.bloom_candidates(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", words)
+    return near.join(orders, "id", "left_semi")
+
+
+@_query("SELECT o_orderkey AS id, o_custkey AS whole, o_totalprice AS price, lower(right(concat('0000000000000000', to_hex(o_custkey)), 16)) AS spelled FROM orders")
+def bytes_round_trip(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), values.to_bytes(F.col("o_custkey"), "long").alias("whole"), values.to_bytes(F.col("o_totalprice"), "double").alias("price"))
+    return rows.select("id", values.from_bytes(F.col("whole"), "long").alias("whole"), values.from_bytes(F.col("price"), "double").alias("price"), F.lower(F.hex("whole")).alias("spelled"))
+
+
 # ---- Quality of results ----------------------------------------------------------------------------------------------
 
 QUALITY = f"WITH {SKETCH}, {_order_sql(HAMMING)}, {_found_sql(40, 10)}, {PAIRS}, fullm AS ({_top('p', None)}), truth AS (SELECT * FROM fullm WHERE rank <= 10)"
@@ -478,26 +551,27 @@ def fixed_pivots(spark, sf_dir):
     return pivots.fixed_pivots(_vectors(spark, sf_dir), [3, 33, 333]).select("id", "label")
 
 
-def _chosen(spark, sf_dir, choose) -> DataFrame:
+def _chosen(spark, sf_dir, choose, sample: int = 200) -> DataFrame:
+    """The choice on a sample of bounded size, as these selectors are defined; the sample is the feature."""
     v = _vectors(spark, sf_dir)
-    ids, x = pivots.collected(pivots.random_pivots(v, 200))
+    ids, x = pivots.collected(pivots.random_pivots(v, sample))
     rows = [(n, *(int(ids[i]) for i in (c if isinstance(c, tuple) else (c,)))) for n, c in enumerate(choose(x))]
     return spark.createDataFrame(rows, "place int, id long" if len(rows[0]) == 2 else "place int, a long, b long")
 
 
 @_query()
 def rf04_pairs(spark, sf_dir):
-    return _chosen(spark, sf_dir, lambda x: pivots.exhaustive_pairs(x, 8))
+    return _chosen(spark, sf_dir, lambda x: pivots.exhaustive_pairs(x, 8), 500)
 
 
 @_query()
 def rf02_pairs(spark, sf_dir):
-    return _chosen(spark, sf_dir, lambda x: pivots.random_pairs(x, 4, "spread"))
+    return _chosen(spark, sf_dir, lambda x: pivots.random_pairs(x, 4, "spread"), 4000)
 
 
 @_query()
 def rf03_pairs(spark, sf_dir):
-    return _chosen(spark, sf_dir, lambda x: pivots.random_pairs(x, 4, "distortion"))
+    return _chosen(spark, sf_dir, lambda x: pivots.random_pairs(x, 4, "distortion"), 4000)
 
 
 @_query()
@@ -535,7 +609,7 @@ def _trees(spark, sf_dir) -> DataFrame:
 def _tree_pairs(spark, sf_dir, distance) -> DataFrame:
     t = _trees(spark, sf_dir)
     a, b = t.select(F.col("r_regionkey").alias("a"), F.col("tree").alias("x")), t.select(F.col("r_regionkey").alias("b"), F.col("tree").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", distance("x", "y").alias("distance"))  # five regions
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", distance("x", "y").alias("distance"))
 
 
 @_query()

@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def settled(frame: DataFrame, name: str) -> DataFrame:
+    """The rows of frame, written once to the folder of spark.checkpoint.dir and read again; they stay until the application ends.
+
+    A local master without that setting uses a folder of its own.
+    """
+    spark = frame.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = settled.own = getattr(settled, "own", None) or f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
+    at = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    frame.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(frame.schema).parquet(at)
+
+
 class KeyedTable:
     """A table by a key column, of unique keys or with duplicates. Methods return new tables; nothing is changed in place."""
 

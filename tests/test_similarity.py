@@ -251,3 +251,216 @@ def test_entry_has_sql_for_registered_names():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_dense_ids_over_many_ranges(spark, adaptive):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        wide = spark.range(20_000).select((F.lit(20_000) - F.col("id")).alias("x"), F.repeat(F.md5(F.col("id").cast("string")), 12).alias("payload"))
+        got = loaders.dense_ids(wide, ["x"], 5).select("x", "id").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((r.x, r.id) for r in got) == [(x, x + 4) for x in range(1, 20_001)]
+
+
+def brute_spread(d, pairs):
+    sketches = {tuple(bool(d[a, r] <= d[b, r]) for a, b in pairs) for r in range(len(d))}
+    return len(sketches) / min(2 ** len(pairs), len(d))
+
+
+def test_exhaustive_pairs_equal_brute_force():
+    x = np.random.default_rng(4).random((30, 6))
+    d = search.distances_between(x, x, "l1")
+    want = []
+    for _ in range(4):
+        free = [r for r in range(30) if r not in {i for p in want for i in p}]
+        best = None
+        for i, a in enumerate(free):
+            for b in free[i + 1 :]:
+                value = 1 - d[a, b] / d.max() + 10 * brute_spread(d, [*want, (a, b)])
+                if best is None or value >= best[0]:
+                    best = value, (a, b)
+        want.append(best[1])
+    assert pivots.exhaustive_pairs(x, 4) == want
+
+
+@pytest.mark.parametrize("method", ["spread", "distortion"])
+def test_random_pairs_equal_brute_force(method):
+    x = np.random.default_rng(9).random((30, 6))
+    d = search.distances_between(x, x, "l1")
+    got = pivots.random_pairs(x, 3, method, tries=20_000)  # so many that every pair turns up in both orders
+    want = []
+    for _ in range(3):
+        free = [r for r in range(30) if r not in {i for p in want for i in p}]
+        scores = {}
+        for a in free:
+            for b in free:
+                if a != b:
+                    apart = abs(2 * int((d[a] <= d[b]).sum()) - 30) / 30
+                    spread, bound = brute_spread(d, [*want, (a, b)]), round(float(np.abs(d[a] - d[b]).mean()), 9)
+                    scores[a, b] = (not (spread >= 0.5 and apart <= 0.1), -spread, apart, -bound) if method == "spread" else (apart, -bound)
+        best = min(scores.values())
+        want.append(got[len(want)])
+        assert scores[want[-1]] == best
+
+
+def test_sparse_spatial_equals_the_definition():
+    x = np.random.default_rng(2).random((120, 3))
+    got = pivots.sparse_spatial(x, 6)
+    d = search.distances_between(x, x, "l1")
+    seen = [float(d[i, j]) for i in range(100) for j in range(100) if i != j]
+    want = []
+    for i in range(120):
+        if len(want) == 6:
+            break
+        good = True
+        for j in want:
+            seen.append(float(d[i, j]))
+            if d[i, j] < sum(seen) / len(seen):
+                good = False
+                break
+        if good:
+            want.append(i)
+    assert got == want and len(want) > 1
+    assert pivots.separated(np.array([[0.0], [1.0], [1.5], [3.0]]), 4, 1.0) == [0, 2, 3]
+
+
+def test_pivots_of_chosen_ids(spark):
+    objects, _ = points(spark, 30)
+    among = objects.where("id < 6").select("id")
+    assert {r.id for r in pivots.random_pivots(objects, 10, among=among, exclude=[2]).collect()} == {0, 1, 3, 4, 5}
+
+
+def test_elimination_equals_a_scan_and_computes_less(spark, monkeypatch):
+    from nearfield.operators import aesa
+
+    monkeypatch.setattr(aesa, "OBJECTS", 25)
+    objects, x = points(spark, 60, 2)
+    queries, q = points(spark, 6, 2, seed=2)
+    assert as_set(aesa.elimination_search(objects, queries, 3)) == brute(x, q, 3)
+    assert as_set(aesa.elimination_search(objects, queries, 3, 0.2)) == brute(x, q, 3, 0.2)
+    costs = aesa.search_costs(aesa.elimination_hits(objects, queries, 1)).collect()
+    assert len(costs) == 6 and sum(r.computations for r in costs) < 6 * 60
+    assert {r.qid: round(r.nearest, 9) for r in costs} == {i: p for i, _, p, _ in brute(x, q, 1)}
+
+
+def test_index_of_long_sketches_and_its_counters(spark, tmp_path):
+    from nearfield.operators.counters import Counters
+
+    objects, x = points(spark, 150)
+    made = index.Builder(objects, "sketch", 64).freeze(ks=(3,), sample=10)
+    assert made.bits == 64
+    queries = objects.where("id < 6")
+    exact = as_set(search.vector_search(objects, queries, "l1", 3))
+    assert as_set(made.search(queries, 3, reads=10_000)) == exact == as_set(made.refine(queries, 3))
+    assert made.knn_graph(2, reads=20).count() == 300
+    made.save(f"{tmp_path}/i")
+    again = index.load(spark, f"{tmp_path}/i")
+    counters = Counters()
+    assert as_set(again.search(queries, 3, reads=10_000, counters=counters)) == exact
+    assert counters.totals()["queries"] == 6 and counters.totals()["distances"] == 6 * 150 and "distances: 900" in counters.summary()
+    assert again.get_object(7) == x[7].tolist() and [r.id for r in again.in_order().take(3)] == [0, 1, 2]
+    assert again.statistics()["size"] == 150
+    with pytest.raises(KeyError, match="no object"):
+        again.get_object(999)
+    made.close()
+
+
+def test_ids_of_the_caller(spark):
+    objects, _ = points(spark, 40)
+    builder = index.Builder(objects.limit(0))
+    builder.set_auto_ids(False)
+    builder.stage(objects)
+    with pytest.raises(ValueError, match="empty index"):
+        builder.set_auto_ids(True)
+    made = builder.freeze(ks=(1,), sample=5)
+    new = spark.createDataFrame([(900, [5.0] * 4)], COLUMNS)
+    with pytest.raises(ValueError, match="caller"):
+        made.insert(new)
+    after = made.insert_with_ids(new)
+    assert after.size() == 41 and after.get_object(900) == [5.0] * 4
+
+
+def test_insert_stream_enters_a_value_once(spark, tmp_path):
+    from nearfield.streaming.search import insert_stream
+
+    objects, x = points(spark, 30)
+    made = index.Builder(objects, "sketch", 4).freeze(ks=(1,), sample=5)
+    for rows in (([(50, [7.0] * 4), (51, [7.0] * 4), (52, x[3].tolist())], [(60, [7.0] * 4), (61, [8.0] * 4), (62, None)]):
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+        stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/q")
+        insert_stream(made, stream, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [50, 61]
+
+
+def test_full_ranking_and_equal_objects_last(spark):
+    objects, x = points(spark, 40)
+    queries = objects.where("id < 3")
+    got = search.full_match(objects, queries).orderBy("qid", "rank").collect()
+    want = sorted((q, r, d) for q, _, d, r in brute(x, x[:3], None))
+    assert [(r.qid, r["rank"], round(r.distance, 9)) for r in got] == want
+    last = search.full_match(objects, queries, filter_same=True).where("rank = 40").collect()
+    assert len(last) == 3 and all(r.distance > 1e300 for r in last)
+
+
+def test_term_counts_equal_brute_force(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 40))) for _ in range(90)] + ["", "a  a", "a"]
+    docs = spark.createDataFrame([*enumerate(texts), (500, None)], "id long, text string")
+    bags = [Counter(t.split(" ")) for t in texts]
+    want = set()
+    for q in range(0, 93, 3):
+        d = sorted(((bags[q] - bags[o]).total() + (bags[o] - bags[q]).total(), o) for o in range(93))[:4]
+        want |= {(q, o, n, r + 1) for r, (n, o) in enumerate(d)}
+    got = search.term_l1_search(docs, docs.where("id % 3 = 0"), 4)
+    assert {(r.qid, r.id, r.distance, r["rank"]) for r in got.collect()} == want
+    assert search.term_l1_search(docs.limit(0), docs, 3).count() == 0 == search.term_l1_search(docs, docs.limit(0), 3).count()
+
+
+def test_more_tree_functions(spark):
+    t = "r(a(x,y),b(c(d,e,f)),g)"
+    assert trees.heavy_path(t) == ["r", "b", "c", "d"]
+    assert trees.top_light(t) == ["a(x,y)", "e", "f", "g"]
+    assert trees.first_match(t, "c") == "c(d,e,f)" and trees.first_match(t, "q") is None
+    codes = [trees.comparison_code(*p) for p in (("a(b)", "a(b)"), ("a(b)", "z(b)"), ("a(b)", "a(c)"), ("a(b)", "z(c)"), ("a(b)", "a(b,c)"), ("a", "b"), ("a", "a"))]
+    assert codes == [1, 2, 3, 0, 3, 0, 1]
+    rows = spark.createDataFrame([("a(b,c)",), ("a",), (t,)], "tree string")
+    assert {r.tree for r in trees.within_size(rows, "tree", 3).collect()} == {"a(b,c)", "a"}
+    assert rows.where("tree = 'a'").select(trees.tree_heavy_path("tree").alias("p"), trees.tree_top_light("tree").alias("l")).first() == (["a"], [])
+
+
+def test_bytes_and_filters(spark):
+    from nearfield.functions import values
+
+    rows = spark.createDataFrame([(1, -1.5), (-2, 2.25), (None, None), (300, 0.0)], "n long, x double")
+    for kind, source in (("short", "n"), ("int", "n"), ("long", "n"), ("float", "x"), ("double", "x")):
+        got = rows.select(F.col(source).alias("a"), values.to_bytes(F.col(source), kind).alias("b")).withColumn("c", values.from_bytes(F.col("b"), kind)).collect()
+        assert all((r.a is None and r.c is None) or (r.a == r.c and len(r.b) == values.WIDTHS[kind]) for r in got)
+    assert bytes(rows.where("n = -2").select(values.to_bytes(F.col("n"), "short")).first()[0]) == b"\xff\xfe"
+    words = values.bloom_filter(spark.range(0, 1000, 10), "id", 14)
+    near = {r.id for r in values.bloom_candidates(spark.range(1000), "id", words, 14).collect()}
+    assert near >= set(range(0, 1000, 10)) and len(near) < 120
+    assert values.middle(spark.createDataFrame([(1,), (2,), (9,), (10,)], "x int"), "x").first().middle == 2
+
+
+def test_command_line(spark, tmp_path):
+    from nearfield import cli
+
+    rng = np.random.default_rng(3)
+    for name, n in (("a", 60), ("b", 2), ("q", 4)):
+        (tmp_path / f"{name}.txt").write_text("".join(" ".join(map(str, v)) + "\n" for v in rng.random((n, 3)).round(4)))
+    at = lambda *a: cli.run(spark, ["-db", f"{tmp_path}/db", *a]).collect()
+    assert at("-m", "create", "-l", f"{tmp_path}/a.txt", "-p", "4")[0].size == 60
+    assert {r.status for r in at("-m", "add", "-l", f"{tmp_path}/b.txt")} == {"OK"}
+    assert {r.status for r in at("-m", "add", "-l", f"{tmp_path}/b.txt")} == {"EXISTS"}
+    assert len(at("-m", "search", "-q", f"{tmp_path}/q.txt", "-k", "3")) == 12
+    assert len(at("-m", "x", "-q", f"{tmp_path}/q.txt", "-es", "9,1:9,3", "-rf", f"{tmp_path}/r")) == 2
+    reads = at("-m", "approxEvalRecall", "-q", f"{tmp_path}/q.txt", "-k", "3", "-evalRecall", "0.9")[0].reads
+    assert 1 <= reads <= 16
