@@ -43,6 +43,16 @@ class TokenFiles:
         return json.dumps({"width": self.width, "parts": self.parts})
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder as Spark names it: object stores go by other scheme names there."""
+    scheme, _, rest = folder.partition(":")
+    if scheme == "dbfs":
+        folder = "file:///dbfs/" + rest.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        folder = "s3:" + rest
+    return fs.FileSystem.from_uri(folder)
+
+
 def _write(store: fs.FileSystem, path: str, name: str, chunks: list[bytes]) -> None:
     own = f"{path}/.{name}-{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(own) as out:
@@ -54,19 +64,20 @@ def _write(store: fs.FileSystem, path: str, name: str, chunks: list[bytes]) -> N
 def write_token_files(documents: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end_id: int | None = 1, parts: int | None = None, largest_id: int = 49_407) -> TokenFiles:
     """Writes the ids of every whole text in ascending doc_id order; end_id is appended to each document.
 
-    A null text is the empty one; a null doc_id sorts first; rows that share a doc_id are ordered by text. An empty table gives
-    no ranges. Other columns are ignored.
+    A null text is the empty one; a null doc_id sorts first; rows that share a doc_id are ordered by a checksum of their text, then by
+    text, so that many of them spread over ranges. A text of any length is encoded whole. An empty table gives no ranges. Other
+    columns are ignored. folder is a URI that Spark and pyarrow's file systems both know (file, hdfs, s3a, gs, abfss, dbfs).
     """
     spark = documents.sparkSession
     bounded_batches(spark)
     width = 2 if max(largest_id, end_id or 0) < 1 << 16 else 4
     parts = parts or max(documents.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = opened(folder)
     store.create_dir(path, recursive=True)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part = encoder(vocabulary), TaskContext.get().partitionId()
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = opened(folder)
         store.create_dir(path, recursive=True)
         ids, keys, counts, nulls = None, [], [np.zeros(1, np.int64)], 0
         own = f"{path}/.{part:06d}.ids-{TaskContext.get().taskAttemptId()}"
@@ -89,8 +100,9 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str = "word
         _write(store, path, f"{part:06d}.off", [np.array([len(keys), nulls], "<i8").tobytes(), keys.tobytes(), ends.tobytes()])
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "documents": [len(keys)], "tokens": [int(ends[-1])]})
 
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("spread", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "spread")
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "spread", "text").drop("spread")
     # One record for each range, not for each document.
     written = sorted(tuple(r) for r in ordered.mapInArrow(encode, WRITTEN).collect())
     starts = np.cumsum([0, *(r[2] for r in written)]).tolist()
@@ -102,7 +114,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str = "word
 
 def open_part(files: TokenFiles, part: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
     """Document ids, how many of them are null, offsets, and ids of one range, mapped into memory where the store allows it."""
-    store, path = fs.FileSystem.from_uri(files.folder)
+    store, path = opened(files.folder)
     local = isinstance(store, fs.LocalFileSystem)
 
     def load(name: str, kind: str) -> np.ndarray:
