@@ -5,7 +5,7 @@ part of a name without its title) gets one surrogate, derived from a secret key
 the same surrogate everywhere (coreference) and different entities stay different (distinctness). The parts of a titled name are also
 replaced where they stand alone in the same document. Names that have no title anywhere in their document aren't detected. A surrogate keeps the
 entity's type and format: digits stay digits and separators stay where they are, hexadecimal stays hexadecimal in the same case,
-cards keep a valid check digit where the entity had one, mail addresses and host numbers move to ranges set aside for examples,
+cards keep a valid check digit (numbers of that form without one aren't cards and stay), mail addresses and host numbers move to ranges set aside for examples,
 and names after a title come from lists of the same gender and script.
 
 Two entities that draw the same surrogate, and a surrogate that is itself an entity of the corpus, are collisions: those entities
@@ -173,20 +173,26 @@ def _masked(text: Column, stream: Column) -> Column:
     return F.concat_ws("", F.transform(F.split(text, ""), one))
 
 
-def _with_check_digit(masked: Column, entity: Column) -> Column:
-    """Ends the number with its Luhn digit if the entity was valid."""
+def _luhn(number: Column, skip: int = 0) -> Column:
+    """The check sum of a card number's digits from the right; skip is 1 where the last digit is still missing."""
+    digits = F.reverse(F.split(F.regexp_replace(number, "[^0-9]", ""), ""))
 
-    def luhn(number: Column, skip: int) -> Column:
-        digits = F.reverse(F.split(F.regexp_replace(number, "[^0-9]", ""), ""))
+    def value(c: Column, i: Column) -> Column:
+        doubled = c.cast("int") * 2
+        return F.when((i + skip) % 2 == 1, F.when(doubled > 9, doubled - 9).otherwise(doubled)).otherwise(c.cast("int"))
 
-        def value(c: Column, i: Column) -> Column:
-            doubled = c.cast("int") * 2
-            return F.when((i + skip) % 2 == 1, F.when(doubled > 9, doubled - 9).otherwise(doubled)).otherwise(c.cast("int"))
+    return F.aggregate(F.transform(digits, value), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) % 10
 
-        return F.aggregate(F.transform(digits, value), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) % 10
 
+def is_real(entity: Column) -> Column:
+    """Whether what the pattern found is personal: a number in the form of a card is a card only with a valid check digit."""
+    return ~entity.rlike(rf"^(?:{TYPES['card']})$") | (_luhn(entity) == 0)
+
+
+def _with_check_digit(masked: Column) -> Column:
+    """Ends the number with its Luhn digit."""
     head = F.regexp_replace(masked, "[0-9]$", "")
-    return F.when(luhn(entity, 0) == 0, F.concat(head, ((10 - luhn(head, 1)) % 10).cast("string"))).otherwise(masked)
+    return F.concat(head, ((10 - _luhn(head, 1)) % 10).cast("string"))
 
 
 def surrogate(entity: Column, kind: Column, counter: Column, key: str, stream: Column | None = None) -> Column:
@@ -210,7 +216,7 @@ def surrogate(entity: Column, kind: Column, counter: Column, key: str, stream: C
     plain = _masked(entity, stream)
     return (
         F.when(kind == "email", email).when(kind == "ipv4", host).when(kind == "key", token).when(kind == "iban", iban)
-        .when(kind == "card", _with_check_digit(plain, entity)).when(kind == "phone", phone)
+        .when(kind == "card", _with_check_digit(plain)).when(kind == "phone", phone)
         .when(kind == "given f", name("f", 1)).when(kind == "given m", name("m", 1)).when(kind == "surname", name("s", 2)).otherwise(plain)
     )
 
@@ -269,11 +275,11 @@ def replace_personal_data(documents: DataFrame, key: str, name: str = "pii") ->
     found = F.when(hint, F.regexp_extract_all(F.col("text"), F.lit(f"({ENTITY})"), F.lit(1)))
     # Every text is searched once: the table keeps what was found, and the pieces between for the texts that hold something.
     searched = documents.select("text", row.alias("row"), F.monotonically_increasing_id().alias("rid"), found.alias("found"))
-    rich = F.coalesce(F.size("found") > 0, F.lit(False))
+    rich = F.coalesce(F.exists("found", is_real), F.lit(False))
     searched = store.step(searched.select("rid", "row", "found", rich.alias("rich"), F.when(~rich, F.col("text")).alias("text"), F.when(rich, F.split(F.col("text"), ENTITY, -1)).alias("parts")), "searched")
     held = searched.where("rich")
     met = held.select("rid", F.posexplode("found").alias("at", "entity"))
-    surfaces = met.groupBy("entity").agg(F.count("*").alias("n")).select("entity", kind_of(F.col("entity")).alias("kind"))
+    surfaces = met.groupBy("entity").agg(F.count("*").alias("n")).where(is_real(F.col("entity"))).select("entity", kind_of(F.col("entity")).alias("kind"))
     surfaces = store.step(surfaces.withColumn("items", items_of(F.col("entity"), F.col("kind"))), "surfaces")
     items = surfaces.select(F.col("entity").alias("surface"), F.col("kind").alias("type"), F.posexplode("items").alias("at", "item")).select("surface", "type", "at", "item.*")
     values = store.step(items.select("kind", "entity").distinct(), "entities")
@@ -282,7 +288,8 @@ def replace_personal_data(documents: DataFrame, key: str, name: str = "pii") ->
     spelling = _spelled(F.col("surface"), F.col("type"), F.col("new.surrogate"))
     known = store.step(parts_of.select(F.col("surface").alias("entity"), spelling.alias("surrogate"), F.when(F.col("type") == "name", F.col("new")).alias("names")), "surrogates")
     # Both sides are plain tables, so the rows of an entity that is everywhere can be split.
-    spelled = met.join(known.drop("names"), "entity").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
+    spelled = met.join(known.drop("names"), "entity", "left").select("rid", "at", F.coalesce("surrogate", "entity").alias("surrogate"), F.col("surrogate").isNotNull().alias("real"))
+    spelled = spelled.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"), F.count_if("real").cast("int").alias("n"))
     # A part that is both a given name and a surname in one document stands for the surname.
     named = met.join(known.where("names is not null"), "entity").select("rid", F.explode("names").alias("x"))
     named = named.groupBy("rid", "x.entity").agg(F.max_by("x.surrogate", F.struct("x.kind", "x.surrogate")).alias("surrogate"))
@@ -294,7 +301,7 @@ def replace_personal_data(documents: DataFrame, key: str, name: str = "pii") ->
     more = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(F.filter(alone(p), lambda w: F.map_contains_key("names", _part(w)))))
     pieces = F.when(F.col("names").isNotNull(), F.transform("parts", between)).otherwise(F.col("parts"))
     text = F.concat_ws("", F.flatten(F.zip_with(pieces, F.concat(F.col("new.surrogate"), F.array(F.lit(""))), lambda p, s: F.array(p, s))))
-    replaced = whole.select("row", text.alias("text"), (F.size("found") + F.when(F.col("names").isNotNull(), more).otherwise(0)).alias("n_entities"))
+    replaced = whole.select("row", text.alias("text"), (F.col("n") + F.when(F.col("names").isNotNull(), more).otherwise(0)).alias("n_entities"))
     every = searched.where("not rich").select("row", "text", F.lit(0).alias("n_entities")).unionByName(replaced)
     columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns if c != "n_entities"]
     return every.select(*columns, "n_entities")

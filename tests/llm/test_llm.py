@@ -337,6 +337,28 @@ def test_surrogates(spark):
     assert pii.replace_personal_data(docs.limit(0), "k").count() == 0
 
 
+def test_numbers_that_are_no_cards_stay(spark):
+    def valid(n):
+        return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(int(c) for c in n[::-1])) % 10 == 0
+
+    numbers = ["".join(map(str, d)) for d in np.random.default_rng(2).integers(1, 10, (60, 16))] + ["4610568901970798"]
+    docs = rows(spark, [f"see {n} and {n[:4]} {n[4:8]} {n[8:12]} {n[12:]}, jo@corp.com" for n in numbers] + [f"only {n}" for n in numbers])
+    got = pii.replace_personal_data(docs, "k").orderBy("doc_id").collect()
+    assert {valid(n) for n in numbers} == {True, False}
+    for i, n in enumerate(numbers):
+        assert got[i].n_entities == (3 if valid(n) else 1) and (n in got[i].text) == (not valid(n))
+        alone = got[i + len(numbers)]
+        assert alone.n_entities == valid(n) and (alone.text == f"only {n}") == (not valid(n))
+        new = re.fullmatch(r"see (\d{16}) and (\d{4} \d{4} \d{4} \d{4}), \S+@\S+", got[i].text)
+        assert new[1] == new[2].replace(" ", "") and valid(new[1]) == valid(n)
+
+
+def test_names_keep_their_script(spark):
+    got = [r.text for r in pii.replace_personal_data(rows(spark, ["κύριος Δημήτρης Παπάς ήρθε", "г-жа Анна Иванова пришла", "Mrs Jane Poe came"]), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"κύριος [Α-Ωά-ώΆ-Ώα-ω]+ [Α-Ωά-ώΆ-Ώα-ω]+ ήρθε", got[0]) and "Παπάς" not in got[0]
+    assert re.fullmatch(r"г-жа [А-Я][а-я]+ [А-Я][а-я]+ пришла", got[1]) and re.fullmatch("Mrs [A-Z][a-z]+ [A-Z][a-z]+ came", got[2])
+
+
 def test_surrogates_stay_distinct(spark):
     docs = rows(spark, [f"Herr Xx{chr(97 + i // 26)}{chr(97 + i % 26)} came" for i in range(200)])
     got = [r.text for r in pii.replace_personal_data(docs, "k").collect()]
