@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import Scratch, quoted
+from nearfield.llm.common import Scratch, packed_rows, unpacked_rows
 
 #: Ends of the digits in bytes; the last is beyond the longest string that Spark holds.
 ENDS = [32 * 8**k for k in range(9)] + [1 << 31]
@@ -25,17 +25,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _decided(documents: DataFrame, others: list[Column], store: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rid, keep_id, group_size, kept) of every row that shares its text, and the written rows: rid, doc_id, text_sha256, others.
-
-    All tables but these two are deleted again.
-    """
-    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"), *others)
-    names = [c for c in text.columns if c not in ("doc_id", "t")]
-    whole = text.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.sha2("t", 256).alias("text_sha256"), F.col("t").cast("binary").alias("b"), *names)
-    digits = [F.substring("b", low + 1, high - low).alias(f"d{i}") for i, (low, high) in enumerate(zip([0, *ENDS], ENDS, strict=False))]
-    table = store.step(whole.select("doc_id", "rid", "text_sha256", *names, *digits), "digits")
-
+def _decided(table: DataFrame, store: Scratch) -> DataFrame:
+    """(rid, keep_id, group_size, kept) of every row of (rid, doc_id, d0, d1, ...) that shares its text with another."""
     ended: list[DataFrame] = []
     open_ = table.select("rid", F.lit(0).cast("long").alias("node"), F.col("d0").alias("digit"))
     for i, (low, high) in enumerate(zip([0, *ENDS], ENDS, strict=False)):
@@ -53,9 +44,11 @@ def _decided(documents: DataFrame, others: list[Column], store: Scratch) -> tupl
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     groups = store.step(members.groupBy("group").agg(F.min(first).alias("first"), F.count("*").alias("size")), "groups")
     decided = members.join(groups, "group").select("rid", F.col("first.doc_id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("first.rid") == F.col("rid")).alias("kept"))
-    decided = store.step(decided, "decided")
-    store.keep_only(decided, table)
-    return decided, table
+    return store.step(decided, "decided")
+
+
+def _digits(text: Column) -> list[Column]:
+    return [F.substring(text, low + 1, high - low).alias(f"d{i}") for i, (low, high) in enumerate(zip([0, *ENDS], ENDS, strict=False))]
 
 
 def exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> DataFrame:
@@ -65,7 +58,12 @@ def exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> DataFra
     null when all are null); of rows that also share the doc_id the first read stays. A text of any length is split into its
     digits; no step holds more than one row's. An empty table gives no rows; other columns are ignored.
     """
-    decided, table = _decided(documents, [], Scratch(documents.sparkSession, name))
+    store = Scratch(documents.sparkSession, name)
+    text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"))
+    whole = text.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.sha2("t", 256).alias("text_sha256"), F.col("t").cast("binary").alias("b"))
+    table = store.step(whole.select("doc_id", "rid", "text_sha256", *_digits(F.col("b"))), "digits")
+    decided = _decided(table, store)
+    store.keep_only(decided, table)
     return table.select("rid", "doc_id", "text_sha256").join(decided, "rid", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
@@ -80,7 +78,10 @@ def drop_exact_duplicates(documents: DataFrame, name: str = "exact-dedup") -> Da
 
     Rows are followed by their own number from the radix rounds to the result; no digest takes part.
     """
-    row = F.struct(*(F.col(quoted(c)) for c in documents.columns)).alias("row")
-    decided, table = _decided(documents, [row], Scratch(documents.sparkSession, name))
-    stays = table.select("rid", "row").join(decided.where("not kept").select("rid"), "rid", "left_anti")
-    return stays.select(*(F.col("row")[c].alias(c) for c in documents.columns))
+    store = Scratch(documents.sparkSession, name)
+    rows = store.step(packed_rows(documents, F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid")), "rows")
+    whole = rows.select("rid", "doc_id", normalised(F.col("text")).cast("binary").alias("b"))
+    decided = _decided(store.step(whole.select("rid", "doc_id", *_digits(F.col("b"))), "digits"), store)
+    gone = store.step(decided.where("not kept").select("rid"), "gone")
+    store.keep_only(rows, gone)
+    return unpacked_rows(rows.join(gone, "rid", "left_anti"), documents.columns)
