@@ -25,6 +25,18 @@ def hyperplane_bounds(tuple_: Column, bits: int) -> Column:
     return F.array(*[F.abs(tuple_[2 * i] - tuple_[2 * i + 1]) / 2 for i in range(bits)])
 
 
+def differs(a: Column, b: Column, i: Column, bits: int) -> Column:
+    """Whether bit i of two sketches differs."""
+    word = (lambda x: x) if bits <= WORD else (lambda x: x[(i / WORD).cast("int")])
+    return F.getbit(word(a).bitwiseXOR(word(b)), i % WORD) == 1
+
+
+def sketch_bound(bounds: Column, a: Column, b: Column, bits: int) -> Column:
+    """The lower bound of the distance from the object that bounds belongs to, to objects of sketch b: the farthest hyperplane that
+    parts a and b."""
+    return F.array_max(F.transform(bounds, lambda d, i: F.when(differs(a, b, i, bits), d).otherwise(0.0)))
+
+
 def hamming(a: Column, b: Column, bits: int = WORD) -> Column:
     """Bits that differ; sketches of more than WORD bits are arrays of words."""
     if bits <= WORD:

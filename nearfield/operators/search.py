@@ -27,6 +27,8 @@ BLOCK = 4096
 HITS = "qid long, id long, distance double"
 OBJECTS_AT_ONCE = 1024
 QUERIES_AT_ONCE = 256
+#: Blocks of queries in one plan.
+STEP = 16
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -59,6 +61,23 @@ def blocks_of(queries: DataFrame, columns: list[str], size: int = BLOCK) -> Iter
         yield block
 
 
+def in_steps(blocks: Iterator[list[tuple]], send, meet) -> list[DataFrame]:
+    """Hits of all blocks of queries. send makes a block's broadcast, meet the hits from it.
+
+    After every STEP blocks their hits are written and the broadcasts freed, so that neither the plan nor the driver's memory grows
+    with the number of queries.
+    """
+    done, sent = [], []
+    for block in blocks:
+        if len(sent) == STEP:
+            done.append(settled(reduce(DataFrame.unionByName, map(meet, sent)), "hits"))
+            for own in sent:
+                own.destroy()
+            sent = []
+        sent.append(send(block))
+    return done + [meet(own) for own in sent]
+
+
 def ranked(hits: DataFrame, k: int | None, largest: bool = False) -> DataFrame:
     """The first k hits of each query; rows beyond k leave before the shuffle (window group limit)."""
     order = Window.partitionBy("qid").orderBy(F.col("distance").desc() if largest else F.col("distance"), "id")
@@ -78,9 +97,10 @@ def vector_hits(objects: DataFrame, queries: DataFrame, distance: str = "l1", k:
     within = F.col(radius) if isinstance(radius, str) else F.lit(float("inf") if radius is None else float(radius))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("qid"), F.col(vector).alias("v"), within.cast("double").alias("r"))
 
-    def meet(block: list[tuple]) -> DataFrame:
-        sent = objects.sparkSession.sparkContext.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], float), np.array([b[2] for b in block], float)))
+    def send(block: list[tuple]):
+        return objects.sparkSession.sparkContext.broadcast((np.array([b[0] for b in block]), np.array([b[1] for b in block], float), np.array([b[2] for b in block], float)))
 
+    def meet(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q_all, reach = sent.value
             for batch in batches:
@@ -105,7 +125,7 @@ def vector_hits(objects: DataFrame, queries: DataFrame, distance: str = "l1", k:
 
         return rows.mapInArrow(run, HITS)
 
-    found = [meet(b) for b in blocks_of(asked, ["qid", "v", "r"])]
+    found = in_steps(blocks_of(asked, ["qid", "v", "r"]), send, meet)
     return reduce(DataFrame.unionByName, found) if found else objects.sparkSession.createDataFrame([], HITS)
 
 
@@ -277,9 +297,10 @@ def term_l1_search(documents: DataFrame, queries: DataFrame, k: int) -> DataFram
         if block:
             yield block
 
-    def meet(block: list[tuple[int, str]]) -> DataFrame:
-        sent = documents.sparkSession.sparkContext.broadcast(block)  # at most TERM_WORDS words, or one query
+    def send(block: list[tuple[int, str]]):
+        return documents.sparkSession.sparkContext.broadcast(block)  # at most TERM_WORDS words, or one query
 
+    def meet(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables = [TermCounts(sent.value[i : i + TERM_QUERIES]) for i in range(0, len(sent.value), TERM_QUERIES)]
             for batch in batches:
@@ -305,5 +326,5 @@ def term_l1_search(documents: DataFrame, queries: DataFrame, k: int) -> DataFram
 
         return rows.mapInArrow(run, "qid long, id long, distance long")
 
-    found = [meet(b) for b in blocks()]
+    found = in_steps(blocks(), send, meet)
     return ranked(reduce(DataFrame.unionByName, found), k) if found else ranked(documents.sparkSession.createDataFrame([], "qid long, id long, distance long"), k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import projections, trees, values
 from nearfield.operators import aesa, filters, metrics, mutation, pivots, search, sketches, stats
-from nearfield.plans.index import bucket_order
+from nearfield.plans.index import Index, bucket_order
 from nearfield.sources.stores import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,6 +286,15 @@ def sketch_knn_graph(spark, sf_dir):
     return _hits(search.refined(v, v, _approximate(v, v, 3, READS, skip_equal=True), 3, skip_equal=True))
 
 
+@_query(f"WITH {PAIRS} {_top('p', None, 'distance <= 8.5')}")
+def sketch_range(spark, sf_dir):
+    """Exact range through the sketches: hyperplane bounds leave out buckets."""
+    v = _vectors(spark, sf_dir)
+    ids, x = pivots.collected(pivots.random_pivots(v, 2 * BITS))
+    objects = _sketched(v).select("id", "v", "bucket")
+    return _hits(Index("sketch", objects, ids.tolist(), x, BITS, {}).range_search(_asked(objects).select("id", "v"), 8.5))
+
+
 @_query(f"WITH {PAIRS} {_top('p', 5)}")
 def elimination_knn(spark, sf_dir):
     v = _vectors(spark, sf_dir)

@@ -32,7 +32,7 @@ def insert_stream(index: Index, objects: DataFrame, path: str, checkpoint: str)
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         if number == 0 or not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
             return index.objects.select("v")
-        earlier = spark.read.schema(index.objects.select(*names).schema.add("batch", "int")).parquet(path).where(F.col("batch") < number)
+        earlier = spark.read.schema(index.objects.select(*names).schema.add("batch", "integer")).parquet(path).where(F.col("batch") < number)
         return index.objects.select("v").unionByName(earlier.select("v"))
 
     def add(batch: DataFrame, number: int) -> None:

@@ -46,10 +46,13 @@ def test_search_equals_a_scan(spark, k, radius):
 
 def test_search_takes_any_number_of_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "STEP", 2)
     objects, x = points(spark)
     queries, q = points(spark, 10, seed=2)
     assert as_set(search.search(objects, queries, "l1", "v", 3)) == brute(x, q, 3)
     assert as_set(search.search(objects, queries, "l1", "v", None, 1.1)) == brute(x, q, None, 1.1)
+    monkeypatch.setattr(search.blocks_of, "__defaults__", (4,))
+    assert as_set(search.vector_search(objects, queries, "l1", 3)) == brute(x, q, 3)
 
 
 def test_farthest_and_ties_go_by_id(spark):
@@ -336,7 +339,7 @@ def test_pivots_of_chosen_ids(spark):
     assert {r.id for r in pivots.random_pivots(objects, 10, among=among, exclude=[2]).collect()} == {0, 1, 3, 4, 5}
 
 
-def test_elimination_equals_a_scan_and_computes_less(spark, monkeypatch):
+def test_elimination_equals_a_scan_and_computes_less(spark, monkeypatch, tmp_path):
     from nearfield.operators import aesa
 
     monkeypatch.setattr(aesa, "OBJECTS", 25)
@@ -346,6 +349,8 @@ def test_elimination_equals_a_scan_and_computes_less(spark, monkeypatch):
     assert as_set(aesa.elimination_search(objects, queries, 3, 0.2)) == brute(x, q, 3, 0.2)
     costs = aesa.search_costs(aesa.elimination_hits(objects, queries, 1)).collect()
     assert len(costs) == 6 and sum(r.computations for r in costs) < 6 * 60
+    stores.write_cost_histogram(aesa.search_costs(aesa.elimination_hits(objects, queries, 1)), f"{tmp_path}/costs")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/costs").columns == ["nearest", "computations"]
     assert {r.qid: round(r.nearest, 9) for r in costs} == {i: p for i, _, p, _ in brute(x, q, 1)}
 
 
@@ -359,6 +364,7 @@ def test_index_of_long_sketches_and_its_counters(spark, tmp_path):
     exact = as_set(search.vector_search(objects, queries, "l1", 3))
     assert as_set(made.search(queries, 3, reads=10_000)) == exact == as_set(made.refine(queries, 3))
     assert made.knn_graph(2, reads=20).count() == 300
+    assert as_set(made.range_search(queries, 0.7)) == brute(x, x[:6], None, 0.7)
     made.save(f"{tmp_path}/i")
     again = index.load(spark, f"{tmp_path}/i")
     counters = Counters()
@@ -391,7 +397,7 @@ def test_insert_stream_enters_a_value_once(spark, tmp_path):
 
     objects, x = points(spark, 30)
     made = index.Builder(objects, "sketch", 4).freeze(ks=(1,), sample=5)
-    for rows in (([(50, [7.0] * 4), (51, [7.0] * 4), (52, x[3].tolist())], [(60, [7.0] * 4), (61, [8.0] * 4), (62, None)]):
+    for rows in ([(50, [7.0] * 4), (51, [7.0] * 4), (52, x[3].tolist())], [(60, [7.0] * 4), (61, [8.0] * 4), (62, None)]):
         spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
         stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/q")
         insert_stream(made, stream, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(120)
