@@ -523,7 +523,19 @@ def test_languages(spark):
     assert langid.identify_languages(hard(spark), model).count() == hard(spark).count()
 
 
-def test_pipeline_on_the_smallest_tables(spark):
+def test_held_out_quality_and_languages(spark):
+    from nearfield.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = queries.op4_quality(spark, sf).where("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 40 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+    known = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    got = queries.op10_language_id(spark, sf).where("held_out and lang_pred <> 'und'").join(known, "doc_id").collect()
+    assert len(got) > 100 and sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+
+
+def test_pipeline_on_the_smallest_tables(spark, library):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -531,12 +543,37 @@ def test_pipeline_on_the_smallest_tables(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, kept = kept, Scratch(spark, "stage").step(stage(spark, kept, SF), name.replace(" ", "-"))
         assert kept.columns == docs.columns and kept.count() <= before.count()
+        ids, texts = {r.doc_id for r in kept.collect()}, {r.doc_id: r.text for r in before.collect()}
+        if name == "quality":
+            field = line_crf.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert ids == {i for i, t in texts.items() if field.score(t or "")[0] >= 0.3}
         if name == "exact dedup":
-            assert kept.count() == before.select(exact_dedup.normalised(F.col("text"))).distinct().count()
+            first = {}
+            for i in sorted(texts):
+                first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i)
+            assert ids == set(first.values())
         if name == "near dedup":
-            assert {r.doc_id for r in kept.collect()} == {c for _, c in brute_components([(r.doc_id, r.text) for r in before.collect()]).values()}
-    packed = corpus_pipeline.packed(spark, kept, SF)
-    assert packed.select("doc_id").distinct().count() == kept.count()
+            assert ids == {c for _, c in brute_components(list(texts.items())).values()}
+        if name == "decontamination":
+            plain = lambda t: words.hashed_words(pa.array([t or ""]), spoken=True)[0]
+            items = [plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            holds = lambda t: any(len(i) and sum(n for _, _, n in decontaminate.tiling(i, t, 4)) >= 0.5 * len(i) for i in items)
+            assert ids == {i for i, t in texts.items() if not holds(plain(t))}
+    rows_ = corpus_pipeline.packed(spark, kept, SF).collect()
+    pieces, filled = defaultdict(list), Counter()
+    for r in rows_:
+        pieces[r.doc_id].append(r)
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 1024 and sum(filled.values()) >= 0.9 * 1024 * len(filled)
+    for r in kept.collect():
+        ids = np.array([*library[BYTE].encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(pieces.pop(r.doc_id), key=lambda x: x.start)
+        at = 0
+        for x in own:
+            assert (x.start, x.doc_tokens, x.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + x.length].tobytes()))
+            at += x.length
+        assert at == len(ids)
+    assert not pieces
 
 
 CLASHES = ["rid", "row", "key", "none", "_same", "_id", "_own", "_sha", "_n", "_found", "_rid", "_parts", "n_entities", "t", "b", "d0", "digit", "size", "first", "n", "bits", "stars", "counted", "comp", "root", "score", "part", "a.b", "row_key", "label"]
