@@ -167,8 +167,9 @@ def benchmark_passages(documents: DataFrame, benchmark: DataFrame, min_match: in
     """Pairs (key, item_id) where tiles of min_match words or more cover at least the threshold of the item.
 
     Columns: doc_id (named by key), item_id, coverage, item_words, tiles. Null or empty texts and items, and null item ids, pair
-    with nothing; items shorter than min_match match as a whole; rows that share a key pair each; empty tables give no rows;
-    other columns are ignored.
+    with nothing; items shorter than min_match match as a whole; rows that share a key pair each; of equally long tiles the first
+    place in the item, then in the document, is marked first; a text of any length is compared whole, with its seeds expanded part by
+    part; empty tables give no rows; other columns are ignored.
     """
     rows = documents.select(F.col(key).cast("long").alias("row_key"), "text").where("text is not null")
 

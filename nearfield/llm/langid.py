@@ -90,8 +90,8 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit_centroids(documents: DataFrame, per_language: int = 500, at_most: int = 4000, clusters: int = 4, quantile: float = 0.002) -> Centroids:
     """Centroids from text and lang of documents that aren't held out.
 
-    The sample is bounded: about per_language documents of each language and at_most in all. Null and empty texts and null
-    languages don't count.
+    The sample is bounded: about per_language documents of each language and at_most in all, but about 20 of each language however
+    many there are. Null and empty texts and null languages don't count.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     counts = {r[0]: r[1] for r in documents.where(F.col("lang").isNotNull() & ~held_out()).groupBy("lang").count().collect()}
@@ -107,7 +107,7 @@ def fit_centroids(documents: DataFrame, per_language: int = 500, at_most: int =
                 rows = [r.astype("<f4").tobytes() for r in ngram_counts(piece.column("text"))]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "counts"])
 
-    rows = sorted(((r[0] if r[0] is not None else -1, r[1], r[2]) for r in chosen.mapInArrow(run, "doc_id long, lang string, counts binary").limit(2 * at_most).collect()))
+    rows = sorted(((r[0] if r[0] is not None else -1, r[1], r[2]) for r in chosen.mapInArrow(run, "doc_id long, lang string, counts binary").limit(max(2 * at_most, 60 * len(counts))).collect()))
     languages = sorted({r[1] for r in rows})
     x = np.stack([np.frombuffer(r[2], "<f4") for r in rows]) if rows else np.zeros((0, CELLS), np.float32)
     weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
@@ -132,7 +132,9 @@ def identify_languages(documents: DataFrame, model: Centroids) -> DataFrame:
 
     nearest is the language of the nearest centroid; lang_pred is the same, but `und` for a null text, one without a letter, or a
     model without languages (score 0). rejected tells that the distance is beyond what training texts of that centroid show. A
-    null doc_id stays null; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+    null doc_id stays null; repeated rows are scored each; of equal cosines the first centroid wins, languages being in order of
+    their names; a text of any length is counted whole, with some 40 bytes of memory for each of its own; an empty table gives no
+    rows; other columns are ignored.
     """
     bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)

@@ -173,7 +173,8 @@ def score_quality(documents: DataFrame, model: LineField | None) -> DataFrame:
     """doc_id, score, n_lines for every whole text.
 
     A null or empty text is scored as one blank line; without a model every score is 0.5. A null doc_id stays null; repeated rows
-    are scored each; an empty table gives no rows; other columns are ignored.
+    are scored each; a text of any length is scored whole, and one without line breaks is a single line; an empty table gives no
+    rows; other columns are ignored.
     """
     bounded_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
