@@ -214,13 +214,14 @@ def single_query_pivot_range(objects: DataFrame, pivots: dict[str, float], radiu
     return objects.where(reduce(Column.__and__, tests))
 
 
-def nearest_by_projection(objects: DataFrame, queries: DataFrame, buckets: DataFrame, projected: Column, reads: int, k: int, distance: str = "l1", radius: float | None = None, id: str = "id", vector: str = "v", skip_equal: bool = False, counters: Counters | None = None) -> DataFrame:
+def nearest_by_projection(objects: DataFrame, queries: DataFrame, buckets: DataFrame, projected: Column, reads: int, k: int, distance: str = "l1", radius: float | None = None, id: str = "id", vector: str = "v", skip_equal: bool = False, counters: Counters | None = None, kind: str | None = None) -> DataFrame:
     """Approximate search: objects of the `reads` buckets nearest to the query's projection, by true distance.
 
     objects and queries have the columns bucket and vector; buckets holds the distinct ones. projected is the distance of q_bucket
     and bucket; ties go to the smaller bucket. Candidates are joined on the bucket, so only rows of chosen buckets are compared.
+    kind tells that projected is the Hamming distance of sketches ('sketch') or the footrule of permutations ('permutation').
     """
-    near = candidate_buckets(queries.select(F.col(id).alias("qid"), F.col("bucket").alias("q_bucket")), buckets, projected, reads)
+    near = candidate_buckets(queries.select(F.col(id).alias("qid"), F.col("bucket").alias("q_bucket")), buckets, projected, reads, kind)
     asked = queries.select(F.col(id).alias("qid"), F.col(vector).alias("q_v"))
     if counters is not None:
         near = counters.watch(near, buckets_read=F.lit(1))
@@ -235,13 +236,46 @@ def nearest_by_projection(objects: DataFrame, queries: DataFrame, buckets: DataF
     return ranked(pairs, k)
 
 
-def candidate_buckets(queries: DataFrame, buckets: DataFrame, projected: Column, reads: int) -> DataFrame:
-    """(qid, bucket) of the nearest buckets of each query. The bucket table is the distinct projections, a small relation."""
+#: Distinct buckets that go to every task as an array; with more of them the buckets are joined and ranked as rows.
+BUCKETS = 100_000
+
+
+def candidate_buckets(queries: DataFrame, buckets: DataFrame, projected: Column, reads: int, kind: str | None = None) -> DataFrame:
+    """(qid, bucket) of the nearest buckets of each query: one pass over the queries without a shuffle, where the buckets are few."""
+    held = buckets.select("bucket").limit(BUCKETS + 1).collect() if kind else []  # at most BUCKETS + 1 projections
+    if held and len(held) <= BUCKETS:
+        return _nearest_buckets(queries, sorted(r[0] for r in held), reads, kind)
     order = Window.partitionBy("qid").orderBy("p", "bucket")
     pairs = queries.join(buckets.select("bucket"), F.lit(True)).select("qid", "bucket", projected.alias("p"))
     return pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= reads).select("qid", "bucket")
 
 
+def _nearest_buckets(queries: DataFrame, buckets: list, reads: int, kind: str) -> DataFrame:
+    """The first buckets in the order (distance, bucket) of each query; buckets ascend."""
+    sent = queries.sparkSession.sparkContext.broadcast(np.array(buckets, np.int64).reshape(len(buckets), -1))
+    target = queries.select("qid", F.col("q_bucket").alias("bucket"))
+    schema = target.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        places = np.argsort(table, 1)
+        for batch in batches:
+            for start in range(0, len(batch), rows := max(1, 2_000_000 // (len(table) * table.shape[1]))):
+                part = batch.slice(start, rows)
+                own = part.column("bucket")
+                q = np.asarray(own.flatten() if pa.types.is_list(own.type) else own).astype(np.int64).reshape(len(part), -1)
+                if kind == "sketch":
+                    d = np.bitwise_count(q[:, None] ^ table[None]).sum(2, dtype=np.int64)
+                else:
+                    d = np.abs(np.argsort(q, 1)[:, None] - places[None]).sum(2)
+                best = np.argsort(d, axis=1, kind="stable")[:, :reads]
+                found = table[best.ravel()]
+                bucket = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * table.shape[1], pa.array(found.ravel(), own.type.value_type)) if pa.types.is_list(own.type) else pa.array(found[:, 0], own.type)
+                yield pa.RecordBatch.from_arrays([part.column("qid").take(pa.array(np.repeat(np.arange(len(part)), best.shape[1]))), bucket], ["qid", "bucket"])
+
+    return target.mapInArrow(run, schema)
+
+
 def edit_distance_join(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     """(a, b, distance) of strings at most limit apart: an equi-join on length, over the lengths the limit allows."""
     left = a.select(F.col("text").alias("a"), F.explode(F.sequence(F.length("text") - limit, F.length("text") + limit)).alias("n"))

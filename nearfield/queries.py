@@ -247,7 +247,7 @@ def hamming_rank(spark, sf_dir):
 
 def _approximate(v: DataFrame, asked: DataFrame, k: int, reads: int, permuted: bool = False, **options) -> DataFrame:
     of = projections.footrule if permuted else projections.hamming
-    return search.nearest_by_projection(v, asked, stats.bucket_sizes(v), of(F.col("q_bucket"), F.col("bucket")), reads, k, **options)
+    return search.nearest_by_projection(v, asked, stats.bucket_sizes(v), of(F.col("q_bucket"), F.col("bucket")), reads, k, kind="permutation" if permuted else "sketch", **options)
 
 
 @_query(f"WITH {SKETCH}, {_order_sql(HAMMING)}, {_found_sql(READS, 3)} SELECT * FROM found")
@@ -276,7 +276,7 @@ def sketch_knn_128(spark, sf_dir):
     """The first pass with sketches of three words."""
     v = _with_tuple(_vectors(spark, sf_dir), 2 * LONG_BITS).withColumn("bucket", projections.bit_sketch(F.col("tuple"), LONG_BITS))
     of = projections.hamming(F.col("q_bucket"), F.col("bucket"), LONG_BITS)
-    return _hits(search.nearest_by_projection(v, _asked(v), stats.bucket_sizes(v), of, 40, 3))
+    return _hits(search.nearest_by_projection(v, _asked(v), stats.bucket_sizes(v), of, 40, 3, kind="sketch"))
 
 
 @_query(f"WITH p AS (SELECT q.vec_id AS qid, o.vec_id AS id, {_l1('q.embedding', 'o.embedding')} AS distance FROM embeddings q, embeddings o) {_top('p', 3, 'distance > 0')}")

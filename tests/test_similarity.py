@@ -134,6 +134,16 @@ def test_projections(spark):
     assert value(spark, projections.hamming(F.lit(19), F.lit(272))) == 3
 
 
+@pytest.mark.parametrize(("kind", "size"), [("sketch", 5), ("sketch", 70), ("permutation", 5)])
+def test_buckets_as_an_array_and_as_rows(spark, monkeypatch, kind, size):
+    objects, _ = points(spark, 120, 3)
+    made = index.Builder(objects, kind, size).freeze(ks=(1,), sample=5)
+    queries = objects.where("id < 9")
+    want = as_set(made.search(queries, 4, reads=5))
+    monkeypatch.setattr(search, "BUCKETS", 1)
+    assert as_set(made.search(queries, 4, reads=5)) == want
+
+
 @pytest.mark.parametrize("kind", ["sketch", "permutation"])
 def test_index_lifecycle(spark, kind, tmp_path):
     objects, x = points(spark, 80)
