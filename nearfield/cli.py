@@ -21,6 +21,7 @@ from nearfield.plans.index import Builder, Index, load
 from nearfield.sources.loaders import dense_ids, parse_vector, read_lines
 from nearfield.sources.stores import append_report
 
+#: The modes; the options below are named as users of such tools know them.
 MODES = ("create", "add", "search", "x", "opt", "approxEvalEP", "approxEvalRecall")
 
 

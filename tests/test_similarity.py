@@ -110,8 +110,8 @@ def test_distances(spark):
         value(spark, distances.l1_integer(lit(1), lit(9), 3))
 
 
-#: a, b, edit distance, multiset distance
-TREES = [("a(b,c(e(f),d))", "a(b(c(e(f),d)))", 2, 2), ("a(b,c(e(f),d))", "a(b,c(e(f),e))", 1, 4), ("a(b(e(f)),c(e(f),d))", "a(b(e(f),c(e(f),d)))", 2, 2), ("a(b(c(e,d)), f)", "a(b,c(e,d(f)))", 4, 4), ("a(b(c(e(f),d)))", "a(b(c(e(f),e)))", 1, 5), ("a", "c(a)", 1, 1)]
+#: Golden pairs (a, b, edit distance, multiset distance); the last two are our own.
+TREES = [("a(b,c(e(f),d))", "a(b(c(e(f),d)))", 2, 2), ("a(b,c(e(f),d))", "a(b,c(e(f),e))", 1, 4), ("a(b(e(f)),c(e(f),d))", "a(b(e(f),c(e(f),d)))", 2, 2), ("a(b(c(e,d)), f)", "a(b,c(e,d(f)))", 4, 4), ("a(b(c(e(f),d)))", "a(b(c(e(f),e)))", 1, 5), ("a", "c(a)", 1, 1), ("x", "x", 0, 0), ("p(q,r)", "p(r,q)", 2, 1)]
 
 
 @pytest.mark.parametrize(("a", "b", "edit", "bag"), TREES)
