@@ -568,6 +568,15 @@ def _chosen(spark, sf_dir, choose, sample: int = 200) -> DataFrame:
     return spark.createDataFrame(rows, "place int, id long" if len(rows[0]) == 2 else "place int, a long, b long")
 
 
+@_query(f"""WITH {_pivot_sql(60)}, dd AS (SELECT a.i AS a, b.i AS b, {_l1('a.embedding', 'b.embedding')} AS d FROM piv a, piv b), m AS (SELECT max(d) AS top FROM dd),
+        s AS (SELECT p.a, p.b, p.d, count(DISTINCT x.d <= y.d) AS sketches FROM dd p JOIN dd x ON x.a = p.a JOIN dd y ON y.a = p.b AND y.b = x.b WHERE p.a < p.b GROUP BY ALL),
+        v AS (SELECT a, b, 1 - d / top + 10 * (sketches / 2) AS worth FROM s, m ORDER BY worth DESC, a DESC, b DESC LIMIT 1)
+        SELECT 0::INT AS place, x.pid AS a, y.pid AS b FROM v JOIN piv x ON x.i = v.a JOIN piv y ON y.i = v.b""")
+def rf04_first_pair(spark, sf_dir):
+    """The first pair of a small sample, which SQL can try exhaustively too."""
+    return _chosen(spark, sf_dir, lambda x: pivots.exhaustive_pairs(x, 1), 60)
+
+
 @_query()
 def rf04_pairs(spark, sf_dir):
     return _chosen(spark, sf_dir, lambda x: pivots.exhaustive_pairs(x, 8), 500)
