@@ -11,7 +11,9 @@
    can still show a new link. Such hashes, joined with a band of set sizes, are the tiles: a set meets the sets of its own and the
    next band, from another component.
 4. In a tile, parity bitmaps of 512 bits bound the overlap from above: each bit that differs witnesses an element outside the
-   intersection. Pairs that pass are compared exactly on their sorted arrays.
+   intersection. Two sets of many common hashes would meet in as many tiles: a row carries the few keys before this one in its own
+   order, and a pair that has one of those in common is left to the earlier tile; at its first common key it has none, so it is
+   met at least once. Pairs that pass are compared exactly on their sorted arrays.
 5. All links give the components.
 """
 
@@ -36,6 +38,8 @@ ORDER_BUCKETS, ORDER_SLICES = 1 << 20, 64
 FILTER_POWER = 29
 #: Bands of tiles as a power of the largest ratio of linked sizes.
 BAND_POWER = 4
+#: Earlier keys of its own that a row of a tile carries.
+BEFORE = 3
 MADE = "n int, d0 long, d1 long, stars array<long>, bits array<long>, counted binary"
 MADE_ARROW = [("n", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64()), ("stars", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("counted", pa.binary())]
 
@@ -155,7 +159,7 @@ def _prefixes(size: int, percent: int, order, wanted=None, without=None):
                 batch = batch.filter(pa.array(~_among(batch, without.value)))
             for piece in slices(batch, limit=1_000_000):
                 sets = shingle_sets(piece.column("text"), size)
-                keys, rows = [], []
+                keys, rows, before = [], [], []
                 for row, own in enumerate(sets):
                     if not len(own):
                         continue
@@ -164,6 +168,7 @@ def _prefixes(size: int, percent: int, order, wanted=None, without=None):
                         own = own[np.argsort(common[own >> np.uint64(44)], kind="stable")[:k]]
                     if wanted:
                         own = own[_hits(own, wanted.value)]
+                        before += [signed(own[max(0, i - BEFORE) : i]) for i in range(len(own))]
                     keys.append(own)
                     rows.append(np.full(len(own), row, np.int64))
                 if not keys:
@@ -172,7 +177,7 @@ def _prefixes(size: int, percent: int, order, wanted=None, without=None):
                 if not wanted:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), piece.column("comp").take(row)], ["key", "comp"])
                 elif len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(piece.column(c).take(row) for c in ("comp", "rid", "n", "bits"))], ["key", "comp", "rid", "n", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(piece.column(c).take(row) for c in ("comp", "rid", "n", "bits")), pa.array(before, pa.list_(pa.int64()))], ["key", "comp", "rid", "n", "bits", "before"])
 
     return run
 
@@ -209,12 +214,12 @@ def _members(rows: DataFrame):
     return rows.sparkSession.sparkContext.broadcast(_bit_filter(rows.select("rid").mapInArrow(_spread, "key long")))
 
 
-def _inside(table: DataFrame, wanted) -> DataFrame:
-    """The rows of table that may be among the members."""
+def _inside(table: DataFrame, wanted, inside: bool = True) -> DataFrame:
+    """The rows of table that may be among the members; or those that surely aren't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_among(batch, wanted.value)))
+            yield batch.filter(pa.array(_among(batch, wanted.value) == inside))
 
     return table.mapInArrow(run, table.schema)
 
@@ -279,7 +284,7 @@ def _classified(rows: DataFrame, size: int, percent: int, store: Scratch) -> tup
     mixed_keys = store.step(held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
     links = first_links
     if not mixed_keys.isEmpty():
-        tiles = store.step(prefixes("key long, comp long, rid long, n int, bits array<long>", spark.sparkContext.broadcast(_bit_filter(mixed_keys))), "tiles")
+        tiles = store.step(prefixes("key long, comp long, rid long, n int, bits array<long>, before array<long>", spark.sparkContext.broadcast(_bit_filter(mixed_keys))), "tiles")
         store.drop(some)
         store.sweep()
 
@@ -287,10 +292,10 @@ def _classified(rows: DataFrame, size: int, percent: int, store: Scratch) -> tup
             return F.floor(F.log(n) / float(BAND_POWER * np.log(100 / percent)) + 1e-9).cast("int")
 
         # A set meets partners of at least percent / 100 of its size: those of its own band and, near the edge, of the one below.
-        smaller = tiles.select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"))
-        larger = tiles.select("key", F.explode(F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)))).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"))
+        smaller = tiles.select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"), F.col("before").alias("a_before"))
+        larger = tiles.select("key", F.explode(F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)))).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"), F.col("before").alias("b_before"))
         ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        pairs = smaller.join(larger, ["key", "tile"]).where((F.col("ca") != F.col("cb")) & ordered & _close_enough(percent))
+        pairs = smaller.join(larger, ["key", "tile"]).where((F.col("ca") != F.col("cb")) & ordered & _close_enough(percent) & ~F.arrays_overlap("a_before", "b_before"))
         pairs = store.step(pairs.select("a", "b").distinct(), "tile-pairs")
         store.drop(tiles)
         store.sweep()
@@ -328,5 +333,9 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80,
     rows = packed_rows(documents, F.col("doc_id").cast("long").alias("doc_id"))
     grouped, written = _classified(rows, size, percent, store)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    kept = store.step(grouped.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.rid").alias("rid")), "kept")
-    return unpacked_rows(written.select("rid", "text", "row").join(kept, "rid"), documents.columns)
+    kept = grouped.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.rid").alias("rid"))
+    gone = store.step(grouped.select("rid").join(kept, "rid", "left_anti"), "gone")
+    # Rows that are surely not among those aren't shuffled, whatever their number.
+    some, rows = _members(gone), written.select("rid", "text", "row")
+    stays = _inside(rows, some, False).unionByName(_inside(rows, some).join(gone, "rid", "left_anti"))
+    return unpacked_rows(stays, documents.columns)
