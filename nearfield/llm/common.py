@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -128,6 +129,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(begin)
 
 
+def forget_tokenizers() -> None:
+    """Frees the caches that a tokenizing step left in this Python worker; workers serve one step after another."""
+    if kept := sys.modules.get("nearfield.llm.chunks"):
+        kept._made.clear()
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Null counts as the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, packed_rows, slices, unpacked_rows
+from nearfield.llm.common import bounded_batches, forget_tokenizers, packed_rows, slices, unpacked_rows
 from nearfield.llm.words import hashed_words, window_hashes
 
 FOUND = "row_key long, item_id long, coverage double, item_words int, tiles array<struct<item_at:int,doc_at:int,words:int>>"
@@ -212,6 +212,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, min_match: int
 
 def _without(sent, min_match: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         block = Block(sent.value, min_match)
         for batch in batches:
             for piece in slices(batch):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from nearfield.llm.common import Scratch, packed_rows, slices, unpacked_rows
+from nearfield.llm.common import Scratch, forget_tokenizers, packed_rows, slices, unpacked_rows
 from nearfield.llm.components import components
 from nearfield.llm.words import hashed_words, mixed, window_hashes
 
@@ -73,6 +73,7 @@ def _signatures(size: int):
     """The columns of MADE beside each row of (doc_id, text, row); bucket counts travel as extra rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         totals, schema = np.zeros(ORDER_BUCKETS, np.int64), None
         for batch in batches:
             schema = schema or pa.schema([*batch.schema, *MADE_ARROW])
@@ -153,6 +154,7 @@ def _prefixes(size: int, percent: int, order, wanted=None, without=None):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         common = order.value
         for batch in batches:
             if without:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bounded_batches, held_out, packed_rows, slices, unpacked_rows
+from nearfield.llm.common import bounded_batches, forget_tokenizers, held_out, packed_rows, slices, unpacked_rows
 
 UPPER, LOWER, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 ENDINGS = b".!?:;\"')"
@@ -199,6 +199,7 @@ def keep_good(documents: DataFrame, model: LineField | None, threshold: float =
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tokenizers()
         field = sent.value
         for batch in batches:
             if field:
