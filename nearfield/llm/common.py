@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
@@ -61,7 +62,7 @@ class Scratch:
     def step(self, frame: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{len(self.made):03d}-{name}"
         self.made.append(at)
-        frame.write.parquet(at)
+        frame.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(frame.schema).parquet(at)
         out.scratch_path = at
         return out
@@ -133,6 +134,14 @@ def forget_tokenizers() -> None:
     """Frees the caches that a tokenizing step left in this Python worker; workers serve one step after another."""
     if kept := sys.modules.get("nearfield.llm.chunks"):
         kept._made.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns to the system what is free inside this Python worker; the allocators would keep the most that any step took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -13,7 +13,9 @@
 4. In a tile, parity bitmaps of 512 bits bound the overlap from above: each bit that differs witnesses an element outside the
    intersection. Two sets of many common hashes would meet in as many tiles: a row carries the few keys before this one in its own
    order, and a pair that has one of those in common is left to the earlier tile; at its first common key it has none, so it is
-   met at least once. Pairs that pass are compared exactly on their sorted arrays.
+   met at least once. The smaller set of a pair shares s - ceil(2 * 0.8 / 1.8 * s) + 1 at least of its s hashes, so it needs only
+   that part of its prefix. Bitmaps of 512 bits say little of sets of thousands: pairs that pass meet again by bitmaps as wide as
+   their sets, and only those that pass these too are compared exactly on their sorted arrays, for which texts are shuffled.
 5. All links give the components.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from nearfield.llm.common import Scratch, forget_tokenizers, packed_rows, slices, unpacked_rows
+from nearfield.llm.common import Scratch, forget_tokenizers, give_back, packed_rows, slices, unpacked_rows
 from nearfield.llm.components import components
 from nearfield.llm.words import hashed_words, mixed, window_hashes
 
@@ -59,12 +61,25 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return sets
 
 
-def parity_bits(own: np.ndarray) -> np.ndarray:
-    """512 parities of the hashes by their low bits."""
-    odd = np.bincount((own & np.uint64(64 * BANDS - 1)).astype(np.int64), minlength=64 * BANDS) & 1
+def parity_bits(own: np.ndarray, width: int = 64 * BANDS) -> np.ndarray:
+    """Parities of the hashes by their low bits; width is a power of two."""
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_bits(own: np.ndarray) -> bytes:
+    """Parities in one bit for each hash at least, 64 at least; half of a bitmap is the sum of its halves."""
+    return parity_bits(own, 1 << max(6, (max(1, len(own)) - 1).bit_length())).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """The bits that differ, at the width of the narrower bitmap."""
+    a, b = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
@@ -93,6 +108,7 @@ def _signatures(size: int):
             # The task's bucket counts, one row for each slice of buckets; they are added up below.
             parts = totals.astype("<i8").reshape(ORDER_SLICES, -1)
             yield pa.RecordBatch.from_pylist([{"n": i, "counted": own.tobytes()} for i, own in enumerate(parts)], schema=schema)
+        give_back()
 
     return run
 
@@ -123,6 +139,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
                     common = int((both[1:] == both[:-1]).sum())
                     keep.append(100 * common >= percent * (len(both) - common))
                 yield piece.select(["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     own = _inside(sets.select("rid", "text"), _members(met))  # other texts need not be shuffled
@@ -131,6 +148,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Dat
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that wide bitmaps allow. A bitmap is some 20 times smaller than its text, which isn't shuffled for others."""
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch.filter(pa.array(_among(batch, members.value))), limit=1_000_000):
+                own = shingle_sets(piece.column("text"), size)
+                yield pa.RecordBatch.from_arrays([piece.column("rid"), pa.array([len(x) for x in own], pa.int64()), pa.array(map(wide_bits, own), pa.binary())], ["rid", "n", "wide"])
+        give_back()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            apart = np.array([bits_apart(x, y) for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * (total - apart) >= 2 * percent * total))
+
+    members = _members(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+    own = sets.select("rid", "text").mapInArrow(described, "rid long, n long, wide binary")
+    a = own.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+    b = own.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
 def _differing() -> Column:
     return sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(BANDS)), F.lit(0))
 
@@ -147,6 +187,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def smaller_prefix_length(n: int, percent: int) -> int:
+    """The prefix that meets sets of at least n hashes: they share 2 * percent / (100 + percent) of n at least."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def _prefixes(size: int, percent: int, order, wanted=None, without=None):
     """Rows (key, component) of every set; with a bit filter of hashes, only those that pass it, with what a tile needs.
 
@@ -161,7 +206,7 @@ def _prefixes(size: int, percent: int, order, wanted=None, without=None):
                 batch = batch.filter(pa.array(~_among(batch, without.value)))
             for piece in slices(batch, limit=1_000_000):
                 sets = shingle_sets(piece.column("text"), size)
-                keys, rows, before = [], [], []
+                keys, rows, before, early = [], [], [], []
                 for row, own in enumerate(sets):
                     if not len(own):
                         continue
@@ -169,7 +214,9 @@ def _prefixes(size: int, percent: int, order, wanted=None, without=None):
                     if k < len(own):  # own is in order of hash, so equal counts stay so
                         own = own[np.argsort(common[own >> np.uint64(44)], kind="stable")[:k]]
                     if wanted:
-                        own = own[_hits(own, wanted.value)]
+                        hit = np.flatnonzero(_hits(own, wanted.value))
+                        early.append(hit < smaller_prefix_length(len(sets[row]), percent))
+                        own = own[hit]
                         before += [signed(own[max(0, i - BEFORE) : i]) for i in range(len(own))]
                     keys.append(own)
                     rows.append(np.full(len(own), row, np.int64))
@@ -179,7 +226,8 @@ def _prefixes(size: int, percent: int, order, wanted=None, without=None):
                 if not wanted:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), piece.column("comp").take(row)], ["key", "comp"])
                 elif len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(piece.column(c).take(row) for c in ("comp", "rid", "n", "bits")), pa.array(before, pa.list_(pa.int64()))], ["key", "comp", "rid", "n", "bits", "before"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *(piece.column(c).take(row) for c in ("comp", "rid", "n", "bits")), pa.array(before, pa.list_(pa.int64())), pa.array(np.concatenate(early))], ["key", "comp", "rid", "n", "bits", "before", "early"])
+        give_back()
 
     return run
 
@@ -286,7 +334,8 @@ def _classified(rows: DataFrame, size: int, percent: int, store: Scratch) -> tup
     mixed_keys = store.step(held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
     links = first_links
     if not mixed_keys.isEmpty():
-        tiles = store.step(prefixes("key long, comp long, rid long, n int, bits array<long>, before array<long>", spark.sparkContext.broadcast(_bit_filter(mixed_keys))), "tiles")
+        store.sweep()
+        tiles = store.step(prefixes("key long, comp long, rid long, n int, bits array<long>, before array<long>, early boolean", spark.sparkContext.broadcast(_bit_filter(mixed_keys))), "tiles")
         store.drop(some)
         store.sweep()
 
@@ -294,14 +343,15 @@ def _classified(rows: DataFrame, size: int, percent: int, store: Scratch) -> tup
             return F.floor(F.log(n) / float(BAND_POWER * np.log(100 / percent)) + 1e-9).cast("int")
 
         # A set meets partners of at least percent / 100 of its size: those of its own band and, near the edge, of the one below.
-        smaller = tiles.select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"), F.col("before").alias("a_before"))
+        smaller = tiles.where("early").select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"), F.col("before").alias("a_before"))
         larger = tiles.select("key", F.explode(F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)))).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"), F.col("before").alias("b_before"))
         ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
         pairs = smaller.join(larger, ["key", "tile"]).where((F.col("ca") != F.col("cb")) & ordered & _close_enough(percent) & ~F.arrays_overlap("a_before", "b_before"))
         pairs = store.step(pairs.select("a", "b").distinct(), "tile-pairs")
         store.drop(tiles)
         store.sweep()
-        links = store.step(_verified(pairs, full, size, percent), "tile-links").unionByName(first_links)
+        likely = store.step(_likely(pairs, full, size, percent), "likely-pairs")
+        links = store.step(_verified(likely, full, size, percent), "tile-links").unionByName(first_links)
     root = components(links, store) if links is not first_links else first
     grouped = member.join(root.withColumnRenamed("node", "head"), "head", "left").select("rid", "doc_id", "n", "class_size", F.coalesce("root", "head").alias("root"))
     grouped = store.step(grouped, "grouped")

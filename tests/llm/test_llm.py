@@ -624,3 +624,17 @@ def test_large_groups_of_near_copies_equal_brute_force(spark):
     texts = near_copies(rng, 500, 60, 5) + near_copies(rng, 80, 120, 9) + near_copies(rng, 40, 300, 20)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(rows(spark, texts)).collect()}
     assert got == brute_components(list(enumerate(texts)))
+
+
+def test_long_sets_of_common_words_are_told_apart_without_their_texts(spark, monkeypatch):
+    """512 bits say nothing of sets of thousands; such pairs went to the comparison of texts."""
+    assert all(jaccard_join.bits_apart(jaccard_join.wide_bits(x), jaccard_join.wide_bits(y)) <= len(np.setxor1d(x, y)) for n in (1, 60, 5000) for x, y in [(np.arange(n, dtype=np.uint64) * words.ODD, np.arange(n // 3, 2 * n + 9, dtype=np.uint64) * words.ODD)])
+    shared = " ".join(f"c{k}" for k in range(900))
+    texts = [shared + " " + " ".join(f"w{i}x{k}" for k in range(2600)) for i in range(3)]
+    texts.append(texts[0].replace("w0x", "v0x", 60))
+    own = [jaccard_join.shingle_sets(pa.array([t]), 5)[0] for t in texts]
+    narrow = [np.bitwise_count(jaccard_join.parity_bits(own[0]) ^ jaccard_join.parity_bits(x)).sum() for x in own]
+    assert all(180 * (len(own[0]) + len(x) - b) >= 160 * (len(own[0]) + len(x)) for x, b in zip(own, narrow, strict=True))
+    sets = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(a)], "a long, b long")
+    assert [tuple(r) for r in jaccard_join._likely(pairs, sets, 5, 80).collect()] == [(3, 0)]
