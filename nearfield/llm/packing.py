@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.chunks import encoder
-from nearfield.llm.common import Scratch, slices
+from nearfield.llm.common import Scratch, give_back, slices
 
 PIECES = "part int, local long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long"
 ROWS = 20_000
@@ -123,9 +123,10 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe
             rows.clear()
             return made
 
+        give_back()
         schema = pa.schema([("part", pa.int32())] + [(n, pa.int64()) for n in ("local", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset")])
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=2_000_000):
                 ids, sizes = tool.encode(piece.column("text"))
                 ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
                 end = 0
@@ -141,12 +142,16 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe
                             close(window)
                     if len(rows) >= ROWS:
                         yield out()
+                del ids, own
+            give_back()
         for window in [*packer.drain(), *(w for level in packer.levels for w in level)]:
             close(window)
             if len(rows) >= ROWS:
                 yield out()
         if rows:
             yield out()
+        del packer
+        give_back()
 
     pieces = store.step(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES), "pieces")
     # One number for each partition of the input.
