@@ -303,11 +303,10 @@ def elimination_knn(spark, sf_dir):
 
 @_query(f"WITH {PAIRS} SELECT qid, min(distance) AS nearest, count(*) AS n_objects FROM p WHERE distance > 0 GROUP BY qid")
 def elimination_nearest(spark, sf_dir):
-    """The nearest other object of each query, and how many objects there are at most to compute distances of."""
+    """The nearest other object of each query, and how many others it computes the distance of when nothing is eliminated."""
     v = _vectors(spark, sf_dir)
-    costs = aesa.search_costs(aesa.elimination_hits(v, _asked(v), 1 << 30))
-    near = search.vector_search(v, _asked(v), "l1", 1, skip_equal=True).select("qid", F.col("distance").alias("nearest"))
-    return costs.select("qid", (F.col("computations") - 1).alias("n_objects")).join(near, "qid").select("qid", "nearest", "n_objects")
+    costs = aesa.elimination_costs(v, _asked(v), 1 << 30).where("others > 0")
+    return costs.select("qid", F.col("nearest_other").alias("nearest"), F.col("others").alias("n_objects"))
 
 
 @_query(f"WITH {SKETCH}, s AS (SELECT DISTINCT bucket AS sketch FROM sk), d AS (SELECT a.id AS qid, s.sketch, bit_count(xor(a.bucket, s.sketch))::BIGINT AS distance FROM sk a, s WHERE a.id % 100 = 0) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, sketch) AS rank FROM d")

@@ -364,6 +364,23 @@ def test_elimination_equals_a_scan_and_computes_less(spark, monkeypatch, tmp_pat
     assert {r.qid: round(r.nearest, 9) for r in costs} == {i: p for i, _, p, _ in brute(x, q, 1)}
 
 
+def test_elimination_with_copies_and_many_queries(spark, monkeypatch, tmp_path):
+    """Copies of a query aren't others: the count of others was the number of objects less one."""
+    from nearfield import queries as similarity
+    from nearfield.operators import aesa
+
+    monkeypatch.setattr(aesa, "OBJECTS", 40)
+    rng = np.random.default_rng(5)
+    x = np.tile(rng.random((100, 6)).round(1), (3, 1))
+    rows = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    own = np.float32(x).astype(float)
+    d = {q: np.abs(own - own[q]).sum(1) for q in (0, 100, 200)}
+    got = {r.qid: (round(r.nearest, 9), r.n_objects) for r in similarity.elimination_nearest(spark, str(tmp_path)).collect()}
+    assert got == {q: (round(float(v[v > 0].min()), 9), int((v > 0).sum())) for q, v in d.items()}
+    assert as_set(similarity.elimination_knn(spark, str(tmp_path))) == as_set(similarity.exact_knn(spark, str(tmp_path)))
+
+
 def test_index_of_long_sketches_and_its_counters(spark, tmp_path):
     from nearfield.operators.counters import Counters
 
