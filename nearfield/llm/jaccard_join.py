@@ -16,7 +16,10 @@
    met at least once. The smaller set of a pair shares s - ceil(2 * 0.8 / 1.8 * s) + 1 at least of its s hashes, so it needs only
    that part of its prefix. Bitmaps of 512 bits say little of sets of thousands: pairs that pass meet again by bitmaps as wide as
    their sets, and only those that pass these too are compared exactly on their sorted arrays, for which texts are shuffled.
-5. All links give the components.
+5. A tile of more than CROWD sets makes no rows of pairs, which would grow with the square of a group: its sets are dealt into cells
+   of bounded size, and a set of a cell that some other may link with by its bitmap brings its text there once. A cell compares all
+   such pairs exactly, and gives only links that join two components.
+6. All links give the components.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from nearfield.llm.common import Scratch, forget_tokenizers, give_back, packed_rows, slices, unpacked_rows
+from nearfield.llm.common import Scratch, forget_tokenizers, gather, give_back, packed_rows, slices, unpacked_rows
 from nearfield.llm.components import components
 from nearfield.llm.words import hashed_words, mixed, window_hashes
 
@@ -42,6 +45,9 @@ FILTER_POWER = 29
 BAND_POWER = 4
 #: Earlier keys of its own that a row of a tile carries.
 BEFORE = 3
+#: Rows of a tile that is still joined pair by pair; the rows and hashes of a block of a larger one, two of which make a cell.
+CROWD = 32
+BLOCK_ROWS, BLOCK_HASHES = 2_048, 1 << 20
 MADE = "n int, d0 long, d1 long, stars array<long>, bits array<long>, counted binary"
 MADE_ARROW = [("n", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64()), ("stars", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("counted", pa.binary())]
 
@@ -274,6 +280,97 @@ def _inside(table: DataFrame, wanted, inside: bool = True) -> DataFrame:
     return table.mapInArrow(run, table.schema)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of a column by which they are sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        own = np.asarray(batch.column(column))
+        ends = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for begin, end in zip(ends, ends[1:], strict=False):
+            if held and held[0].column(column)[0].as_py() != own[begin]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _bitmaps_close(n: np.ndarray, bits: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """What _close_enough says of row i and the others."""
+    most, least, total = np.maximum(n[i], n[others]), np.minimum(n[i], n[others]), n[i] + n[others]
+    apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    return (100 * least >= percent * most) & ((100 + percent) * (total - apart) >= 2 * percent * total)
+
+
+def _crowded(entries: DataFrame, crowds: DataFrame) -> DataFrame:
+    """The rows of large tiles in their cells. Blocks of a tile meet two by two: a row is repeated for each block, not for each row."""
+    blocks = F.ceil(F.col("held") / F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_HASHES) / F.col("largest"))))).cast("int")
+    own = entries.join(crowds, ["key", "tile"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    cell = F.xxhash64("key", "tile", F.least("block", "other"), F.greatest("block", "other"))
+    return met.select(cell.alias("cell"), side.alias("side"), "rid", "comp", "n", "bits", "before", "smaller")
+
+
+def _cell_members(percent: int):
+    """Rows (cell, side, rid, comp) of the sets that some other set of their cell may link with, by the rules of the pairwise join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, "cell"):
+            rid, comp, side, smaller = (np.asarray(group.column(c).to_numpy(zero_copy_only=False)) for c in ("rid", "comp", "side", "smaller"))
+            n = np.asarray(group.column("n")).astype(np.int64)
+            bits = np.asarray(group.column("bits").flatten()).view(np.uint64).reshape(-1, BANDS)
+            counts = np.diff(np.asarray(group.column("before").offsets))
+            before = np.zeros((len(rid), BEFORE), np.int64)
+            has = np.arange(BEFORE) < counts[:, None]
+            before[has] = np.asarray(group.column("before").flatten())
+            found = np.zeros(len(rid), bool)
+            for i in np.flatnonzero(smaller).tolist():
+                met = np.flatnonzero((comp != comp[i]) & ((n > n[i]) | ((n == n[i]) & (rid > rid[i]))) & ((side != side[i]) | (side[i] == 0)))
+                met = met[_bitmaps_close(n, bits, i, met, percent)]
+                if len(met) and counts[i]:
+                    met = met[~((before[met][:, :, None] == before[i, : counts[i]]) & has[met][:, :, None]).any(axis=(1, 2))]
+                if len(met):
+                    found[met] = found[i] = True
+            yield group.select(["cell", "side", "rid", "comp"]).filter(pa.array(found))
+
+    return run
+
+
+def _cell_links(size: int, percent: int):
+    """Links (a, b) between components of a cell, by exact comparison; no two of them join the same components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, "cell"):
+            sets = [own for piece in slices(group, limit=1_000_000) for own in shingle_sets(piece.column("text"), size)]
+            rid, comp, side = (np.array(group.column(c)) for c in ("rid", "comp", "side"))
+            n = np.array([len(x) for x in sets], np.int64)
+            bits = np.array([parity_bits(x) for x in sets]).view(np.uint64)
+            distinct, pool = np.unique(np.concatenate(sets), return_inverse=True)
+            starts, here, links = np.cumsum(n) - n, np.zeros(len(distinct), bool), []
+            for i in range(len(sets) - 1):
+                later = np.arange(i + 1, len(sets))
+                later = later[(comp[later] != comp[i]) & ((side[later] != side[i]) | (side[i] == 0))]
+                later = later[_bitmaps_close(n, bits, i, later, percent)]
+                if not len(later):
+                    continue
+                own = pool[starts[i] : starts[i] + n[i]]
+                here[own] = True
+                common = np.add.reduceat(here[gather(starts[later], n[later], pool)], np.cumsum(n[later]) - n[later], dtype=np.int64)
+                here[own] = False
+                for j in later[100 * common >= percent * (n[i] + n[later] - common)].tolist():
+                    if comp[j] != comp[i]:
+                        comp[comp == comp[j]] = comp[i]
+                        links.append((rid[i], rid[j]))
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        give_back()
+
+    return run
+
+
 def _stars(sets: DataFrame, percent: int, store: Scratch) -> DataFrame:
     """Pairs (a, b) of rows close enough by their bitmaps, each a centre of a hash and another holder of it."""
     about = sets.select("rid", "n", "bits")
@@ -343,15 +440,26 @@ def _classified(rows: DataFrame, size: int, percent: int, store: Scratch) -> tup
             return F.floor(F.log(n) / float(BAND_POWER * np.log(100 / percent)) + 1e-9).cast("int")
 
         # A set meets partners of at least percent / 100 of its size: those of its own band and, near the edge, of the one below.
-        smaller = tiles.where("early").select("key", band(F.col("n")).alias("tile"), F.col("comp").alias("ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("a_bits"), F.col("before").alias("a_before"))
-        larger = tiles.select("key", F.explode(F.array_distinct(F.array(band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)))).alias("tile"), F.col("comp").alias("cb"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("b_bits"), F.col("before").alias("b_before"))
+        here, below = band(F.col("n")), band(F.col("n") * (percent / 100) - 1e-6)
+        entries = tiles.withColumn("tile", F.explode(F.array_distinct(F.array(here, below)))).withColumn("smaller", F.col("early") & (F.col("tile") == here))
+        crowds = entries.groupBy("key", "tile").agg(F.count("*").alias("held"), F.max("n").alias("largest")).where(F.col("held") > CROWD)
+        crowds = store.step(crowds, "crowds")
+        few = entries.join(crowds, ["key", "tile"], "left_anti")
+
+        def sided(rows: DataFrame, side: str) -> DataFrame:
+            return rows.select("key", "tile", F.col("comp").alias(f"c{side}"), F.col("rid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"{side}_bits"), F.col("before").alias(f"{side}_before"))
+
         ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        pairs = smaller.join(larger, ["key", "tile"]).where((F.col("ca") != F.col("cb")) & ordered & _close_enough(percent) & ~F.arrays_overlap("a_before", "b_before"))
+        pairs = sided(few.where("smaller"), "a").join(sided(few, "b"), ["key", "tile"]).where((F.col("ca") != F.col("cb")) & ordered & _close_enough(percent) & ~F.arrays_overlap("a_before", "b_before"))
         pairs = store.step(pairs.select("a", "b").distinct(), "tile-pairs")
+        celled = _crowded(entries, crowds).repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_members(percent), "cell long, side int, rid long, comp long")
+        celled = store.step(celled, "cell-members")
         store.drop(tiles)
         store.sweep()
+        met = celled.join(_inside(full.select("rid", "text"), _members(celled.select("rid").distinct())), "rid")
+        within = store.step(met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(size, percent), "a long, b long"), "cell-links")
         likely = store.step(_likely(pairs, full, size, percent), "likely-pairs")
-        links = store.step(_verified(likely, full, size, percent), "tile-links").unionByName(first_links)
+        links = store.step(_verified(likely, full, size, percent), "tile-links").unionByName(within).unionByName(first_links)
     root = components(links, store) if links is not first_links else first
     grouped = member.join(root.withColumnRenamed("node", "head"), "head", "left").select("rid", "doc_id", "n", "class_size", F.coalesce("root", "head").alias("root"))
     grouped = store.step(grouped, "grouped")
